@@ -48,6 +48,11 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     return df.repartition(n, *cols) if cols else df.repartition(n)
 
 
+def micros(ts: Column | str) -> Column:
+    """Microseconds since the epoch of a timestamp with or without a zone (UTC)."""
+    return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
+
+
 def salt_of(key: Column, buckets: int) -> Column:
     """A stable salt in [0, buckets) taken from a row key, so that retries of a task see the same value."""
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
