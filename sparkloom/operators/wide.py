@@ -106,6 +106,7 @@ def attributes_to_wide(rows: DataFrame, attributes: list[Attribute] = CONTENT_AT
     row of it can be read. Unknown attributes are ignored, but their entities are kept. Null entity columns form entities of
     their own. An entity that holds most rows is reduced before the shuffle by partial aggregation.
     """
+    rows = rows.select(*entity, "attr_source", "attr_key", "attr_value", "created_at", "updated_at")
     bare = pin(rows, _key=snake_key(F.col("attr_key")), _source=F.lower(F.trim("attr_source")), _value=F.regexp_replace("attr_value", r"^\s+|\s+$", ""))
     position = F.lit(None).cast("int")
     for i, a in enumerate(attributes):

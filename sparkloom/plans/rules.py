@@ -37,7 +37,7 @@ class Expression:
     """Compiler of one expression: literals, names, operators, 'in', '?:', methods matches, size, contains, startsWith,
     filter, map, exists, all, isSorted, sum, min, max, indexOf and lastIndexOf.
 
-    sum of an empty list is 0; min and max of one are null; indexOf of an absent value is -1.
+    '+' adds numbers. sum of an empty list is 0; min and max of one are null; indexOf of an absent value is -1.
     """
 
     def __init__(self, text: str, scope: Scope):

@@ -182,7 +182,7 @@ class SearchPlan:
         """The optimiser's row estimate, for a count under a budget; exact counts come from ``total``."""
         stats = self.matches()._jdf.queryExecution().optimizedPlan().stats()
         rows = stats.rowCount()
-        return int(rows.get().toString()) if rows.isDefined() else int(stats.sizeInBytes().toString())
+        return int(str(rows.get() if rows.isDefined() else stats.sizeInBytes()))
 
     def exists(self) -> bool:
         return not self.matches().isEmpty()
