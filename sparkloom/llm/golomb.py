@@ -35,7 +35,7 @@ def full_hash(text: Column) -> Column:
     link, quoted or bracketed, or with separators between digits.
     """
     bare = F.regexp_replace(text, r"[\s\x{0}\x{a0}\x{ad}\x{200b}-\x{200f}\x{2060}\x{feff}]+", "")
-    bare = F.regexp_replace(bare, r"(?i)^.*?(?:urn:(?:btih|sha1):|btih:|xt=)", "")
+    bare = F.regexp_replace(bare, r"(?i)^.*(?:btih:|sha1:|xt=)", "")
     bare = F.regexp_replace(bare, r"(?i)^[\"'<({\[]*(?:0x|\\\\x|sha1:|btih:)?", "")
     bare = F.regexp_replace(bare, r"[&?;#].*$", "")
     bare = F.upper(F.regexp_replace(bare, r"[-:._\"'<>(){}\[\],]", ""))

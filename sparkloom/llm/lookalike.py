@@ -111,6 +111,10 @@ def same_look_forms(texts: DataFrame) -> DataFrame:
     own = F.array(F.struct(F.col("ch").alias("c"), F.lit(0).alias("ccc"), F.lit(False).alias("joins")))
     parts = mapped.select("text", "pos", F.posexplode(F.coalesce("parts", own)).alias("sub", "part")).select("text", "pos", "sub", "part.*")
     order = Window.partitionBy("text").orderBy("pos", "sub")
+    before = F.lag("c").over(order)
+    hangul = before.between("\u1100", "\u1112") | before.between("\u1161", "\u1175") | before.between("\uac00", "\ud7a3")
+    jamo = F.col("c").between("\u1161", "\u11c2")
+    parts = parts.withColumn("joins", F.col("joins") & (~jamo | F.coalesce(hangul, F.lit(False))))
     numbered = parts.withColumn("base", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(order))
     segments = numbered.groupBy("text", "base").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ccc", "pos", "sub", "c"))), lambda x: x["c"]), "").alias("segment")
