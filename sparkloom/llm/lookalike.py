@@ -2,8 +2,8 @@
 
 Distinct texts are exploded to positioned code points, which a broadcast join maps to their decomposition and their
 look-alike Latin letter; combining marks are ordered by class, segments of a base and its marks are recomposed by a second
-broadcast join, and the strings are rebuilt. Both tables are bounded by the Unicode repertoire. All steps after the
-``distinct`` keep its hash partitioning by text, so the exploded rows are never shuffled.
+broadcast join, and the strings are rebuilt. Both tables are bounded by the Unicode repertoire. Distinct texts are spread by
+hash over all cores, and all later steps keep that partitioning, so the exploded rows are never shuffled.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.session import cut, spread
+
 # Letters of other scripts and the Latin letters that they are mistaken for.
 CYRILLIC = dict(zip("аеорсухіѕјӏԁԛԝһѵАВЕКМНОРСТУХІЅЈӀԌԚԜҮ", "aeopcyxisjldqwhvABEKMHOPCTYXISJIGQWY"))
 GREEK = dict(zip("ονϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳ", "ovjABEZHIKMNOPTYXCj"))
@@ -102,7 +104,7 @@ def same_look_forms(texts: DataFrame) -> DataFrame:
     """
     spark: SparkSession = texts.sparkSession
     distinct = texts.select("text").filter(F.col("text").isNotNull()).distinct()
-    wide = distinct.filter(F.col("text").rlike(r"[^\x00-\x7f]"))
+    wide = spread(distinct.filter(F.col("text").rlike(r"[^\x00-\x7f]")), "text")
     expansions = F.broadcast(spark.createDataFrame(_expansions(), "ch string, parts array<struct<c: string, ccc: int, joins: boolean>>"))
     compositions = spark.createDataFrame(_compositions(), "key string, composed string")
 
@@ -140,6 +142,7 @@ def same_look_pairs(rows: DataFrame, key: str = "info_hash", text: str = "name")
     keyed = own.filter(F.col("text").rlike(r"[^\x00-\x7f]")).join(forms, "text").unionByName(
         own.filter(~F.col("text").rlike(r"[^\x00-\x7f]")).withColumn("form", F.col("text"))
     )
+    keyed = cut(keyed)
     several = keyed.groupBy("form").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).filter("lo <> hi").select("form")
     some = keyed.join(several, "form", "left_semi")
     a, b = some.alias("a"), some.alias("b")
