@@ -13,7 +13,7 @@ from sparkloom.llm.mixing import mix, mix_shares
 from sparkloom.llm.mojibake import garbled_records
 from sparkloom.llm.quality import not_prose, text_statistics
 from sparkloom.llm.winnowing import leaked_passages
-from sparkloom.session import cut, table
+from sparkloom.session import cut, pin, table
 
 
 def _titles(spark: SparkSession, sf: str) -> list[DataFrame]:
@@ -74,7 +74,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _seen(spark: SparkSession, sf: str) -> SeenBefore:
-    rows = table(spark, sf, "hash_sightings").select(F.col("sighting_id").alias("id"), full_hash(F.col("hash_text")).alias("hash"))
+    rows = pin(table(spark, sf, "hash_sightings").select(F.col("sighting_id").alias("id"), "hash_text"), hash=full_hash(F.col("hash_text"))).drop("hash_text")
     return SeenBefore(rows, table(spark, sf, "known_hashes").select(full_hash(F.col("info_hash")).alias("hash")))
 
 
