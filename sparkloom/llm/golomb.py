@@ -41,7 +41,7 @@ def full_hash(text: Column) -> Column:
     bare = F.upper(F.regexp_replace(bare, r"[-:._\"'<>(){}\[\],]", ""))
     chunk = lambda i: F.lpad(F.conv(F.translate(F.substring(bare, i, 8), _BASE32, _DIGITS32), 32, 16), 10, "0")
     # plain hex first: it is nearly every row, and the branches behind it are not evaluated then
-    return F.when(text.rlike("^[0-9A-Fa-f]{40}$"), F.lower(text)).when(bare.rlike("^[0-9A-F]{40}$"), F.lower(bare)).when(bare.rlike("^[A-Z2-7]{32}$"), F.lower(F.concat(*[chunk(i) for i in (1, 9, 17, 25)])))
+    return F.when(text.rlike(r"\A[0-9A-Fa-f]{40}\z"), F.lower(text)).when(bare.rlike("^[0-9A-F]{40}$"), F.lower(bare)).when(bare.rlike("^[A-Z2-7]{32}$"), F.lower(F.concat(*[chunk(i) for i in (1, 9, 17, 25)])))
 
 
 def encode_gaps(values: np.ndarray, rice: int) -> bytes:

@@ -119,7 +119,7 @@ QUERIES = {
     for f in (p1_found, p1_copies, p2_found, p2_forms, p3_found, p3_links, p4_found, p4_restored, p5_found, p5_rates, p7_found, p7_passages, p8_mix, p8_shares, p9_found, p9_scores, p9_statistics)
 }
 
-_HASH = r"upper(regexp_replace(regexp_replace(regexp_replace(regexp_replace(hash_text, '[\s]+', '', 'g'), '^.*?(urn:(btih|sha1):|btih:|xt=)', '', 'i'), '^0x', '', 'i'), '[&?;#].*$', ''))"
+_HASH = r"upper(regexp_replace(regexp_replace(regexp_replace(regexp_replace(hash_text, '[\s]+', '', 'g'), '^.*(btih:|sha1:|xt=)', '', 'i'), '^0x', '', 'i'), '[&?;#].*$', ''))"
 _B32 = " || ".join(f"printf('%010x', {' + '.join(f'(strpos(\'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567\', b[{c + i}]) - 1)::BIGINT * {32 ** (7 - i)}' for i in range(8))})" for c in (1, 9, 17, 25))
 
 ORACLE = {

@@ -63,7 +63,7 @@ def test_hash_spellings(spark):
     import base64
 
     b32 = base64.b32encode(bytes.fromhex(h)).decode()
-    good = [h, h.upper(), f"urn:btih:{h}", f"0x{h}", f" {h}\n", f"\t{h} ", b32, b32.lower(), f"urn:btih:{b32}", f"magnet:?xt=urn:btih:{h}&dn=x"]
+    good = [h, f"{h}\n", h.upper(), f"urn:btih:{h}", f"0x{h}", f" {h}\n", f"\t{h} ", b32, b32.lower(), f"urn:btih:{b32}", f"magnet:?xt=urn:btih:{h}&dn=x"]
     bad = [None, "", "-", "unknown", h[:20], h + "ab", "0x", "z" * 40, "1" * 32]
     df = spark.createDataFrame([(t,) for t in good + bad], "t string").select(full_hash(F.col("t")).alias("h"))
     assert [r["h"] for r in df.collect()] == [h] * len(good) + [None] * len(bad)
