@@ -7,7 +7,8 @@ any is extended to its best local word alignment, over whole texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -72,18 +73,32 @@ def best_alignment(a: list[int], b: list[int]) -> tuple[int, int]:
     return best, words
 
 
-def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        out = []
-        for doc, item, dw, iw in zip(b["doc_id"], b["item_id"], b["words"], b["item_words"]):
-            ids = {w: n for n, w in enumerate(dict.fromkeys(iw))}
-            score, words = best_alignment([ids[w] for w in iw], [ids.get(w, -1) for w in dw])
-            out.append((doc, item, score, words))
-        yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "item_span"])
+def _aligner(least_score: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Align pairs; those whose words in common, in any order, are fewer than the least score can't reach it and are left out."""
 
+    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        items: dict[int, tuple[dict[str, int], list[int], Counter]] = {}
+        for b in batches:
+            out = []
+            for doc, item, dw, iw in zip(b["doc_id"], b["item_id"], b["words"], b["item_words"]):
+                if item not in items:
+                    if len(items) > 5_000:
+                        items.clear()
+                    ids = {w: n for n, w in enumerate(dict.fromkeys(iw))}
+                    a = [ids[w] for w in iw]
+                    items[item] = ids, a, Counter(a)
+                ids, a, counts = items[item]
+                words = [ids.get(w, -1) for w in dw]
+                common = Counter(w for w in words if w >= 0)
+                if sum(min(n, counts[w]) for w, n in common.items()) >= least_score:
+                    out.append((doc, item, *best_alignment(a, words)))
+            yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "item_span"])
 
-def aligned_pairs(documents: DataFrame, items: DataFrame, k: int = K, w: int = W) -> DataFrame:
-    """(doc_id, item_id, score, item_span) of all pairs that share a fingerprint.
+    return align
+
+
+def aligned_pairs(documents: DataFrame, items: DataFrame, k: int = K, w: int = W, least_score: int = 1) -> DataFrame:
+    """(doc_id, item_id, score, item_span) of all pairs that share a fingerprint and can reach ``least_score``.
 
     ``documents``: doc_id, text; ``items``: item_id, text. Null and empty texts, and texts shorter than a gram, make no pair.
     Repeated rows make one pair.
@@ -96,9 +111,9 @@ def aligned_pairs(documents: DataFrame, items: DataFrame, k: int = K, w: int = W
     hits = doc_prints.join(F.broadcast(item_prints) if small else item_prints, "print").select("doc_id", "item_id").distinct()
     texts = documents.select("doc_id", "text").join(hits, "doc_id").select("doc_id", "item_id", word_list(F.col("text")).alias("words"))
     full = texts.join(F.broadcast(item.withColumnRenamed("words", "item_words")) if small else item.withColumnRenamed("words", "item_words"), "item_id")
-    return full.mapInPandas(_align, "doc_id long, item_id long, score int, item_span int").groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("item_span").alias("item_span"))
+    return full.mapInPandas(_aligner(least_score), "doc_id long, item_id long, score int, item_span int").groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("item_span").alias("item_span"))
 
 
 def leaked_passages(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, item_span): documents that hold a passage of an item."""
-    return aligned_pairs(documents, items).filter((F.col("item_span") >= LEAST_WORDS) & (F.col("score") >= LEAST_SCORE))
+    return aligned_pairs(documents, items, least_score=LEAST_SCORE).filter((F.col("item_span") >= LEAST_WORDS) & (F.col("score") >= LEAST_SCORE))
