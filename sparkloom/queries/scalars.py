@@ -84,7 +84,15 @@ def scalar_title_year(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT info_hash, 'magnet:?xt=urn:btih:' || info_hash || '&dn=' || replace(replace(url_encode(name), '%20', '+'), '~', '~') || '&xl=' || size AS magnet FROM torrents WHERE regexp_full_match(name, '[A-Za-z0-9 ._-]*')""")
 def scalar_magnet(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "torrents").filter(F.col("name").rlike("^[A-Za-z0-9 ._-]*$"))
+    return _magnets(table(spark, sf, "torrents").filter(F.col("name").rlike("^[A-Za-z0-9 ._-]*$")))
+
+
+@query("SELECT info_hash, 'magnet:?xt=urn:btih:' || info_hash || '&dn=' || replace(url_encode(name), '%20', '+') || '&xl=' || size AS magnet FROM torrents")
+def scalar_magnet_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _magnets(table(spark, sf, "torrents"))
+
+
+def _magnets(t: DataFrame) -> DataFrame:
     return t.select("info_hash", R.magnet_uri(F.col("info_hash"), F.col("name"), F.col("size")).alias("magnet"))
 
 

@@ -71,6 +71,12 @@ def geomean_rerank(spark: SparkSession, sf: str) -> DataFrame:
     return folds.rerank(o.filter("l_linenumber <= 3"), "l_orderkey", "features", F.col("l_quantity"), priors)
 
 
+@query(ORACLE["geomean_rerank"].replace(" WHERE l_linenumber <= 3", ""))
+def geomean_rerank_all(spark: SparkSession, sf: str) -> DataFrame:
+    o = _outcomes(spark, sf)
+    return folds.rerank(o, "l_orderkey", "features", F.col("l_quantity"), folds.beta_priors(o, "features", F.col("l_returnflag") == "R"))
+
+
 @query("""WITH c AS (SELECT info_hash, lang, count(*) AS n FROM documents WHERE info_hash IS NOT NULL AND lang IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, sum(n) OVER (PARTITION BY info_hash) AS t, row_number() OVER (PARTITION BY info_hash ORDER BY n DESC, lang) AS k FROM c)
 SELECT info_hash, lang, n AS votes, t::BIGINT AS total FROM r WHERE k = 1 AND n >= 2 AND n * 3 >= t * 2""")
 def majority_vote(spark: SparkSession, sf: str) -> DataFrame:

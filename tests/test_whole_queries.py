@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from urllib.parse import quote_plus
+
+import pytest
+
 import __spark_entry__ as entry
 
 TEXTS = {
@@ -27,3 +32,20 @@ def test_full_text_reads_documents_of_every_script(spark, tmp_path):
     }
     for name, fits in tests.items():
         assert sorted(r["doc_id"] for r in run(name)) == [i for i, ws in words.items() if fits(ws)], name
+
+
+def test_magnets_of_every_name(spark, tmp_path):
+    names = ["a b.c-d_e", "[Gr] Caf\u00e9 (2010)~*%7E%20+&", "\u0424\u0438\u043b\u044c\u043c", "\u6620\u753b\U0001f3ac", ""]
+    spark.createDataFrame([(f"{i:040x}", n, i) for i, n in enumerate(names)], "info_hash string, name string, size long").write.parquet(f"{tmp_path}/torrents.parquet")
+    got = {r["info_hash"]: r["magnet"] for r in entry.queries()["scalar_magnet_all"](spark, str(tmp_path)).collect()}
+    assert got == {f"{i:040x}": f"magnet:?xt=urn:btih:{i:040x}&dn={quote_plus(n)}&xl={i}" for i, n in enumerate(names)}
+
+
+def test_score_of_every_line(spark, tmp_path):
+    lines = [(o, n, float(o + n), "FO"[n % 2], "RN"[(o + n) % 3 == 0]) for o in range(12) for n in range(1, 8)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double, l_linestatus string, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r["l_orderkey"]: r["score"] for r in entry.queries()["geomean_rerank_all"](spark, str(tmp_path)).collect()}
+    rate = lambda rows: (sum(r[4] == "R" for r in rows) + 1) / (len(rows) + 2)
+    for o in range(12):
+        logs = [math.log(rate([r for r in lines if r[k] == x[k]])) for x in lines if x[0] == o for k in (1, 3)]
+        assert got[o] == pytest.approx(math.exp(sum(logs) / len(logs)) * (1 + math.log1p(o + 7)), abs=2e-6)
