@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sparkloom.functions.titles import fold_title, slip_limit, token_jaccard, year_penalty
 
@@ -26,3 +31,34 @@ def best_matches(left: DataFrame, right: DataFrame, jaccard: float = 0.9) -> Dat
     best = fine.groupBy("lt", "ly").agg(F.min(F.struct("penalty", "distance", (-F.col("jaccard")).alias("j"), "r_id")).alias("b"))
     out = l.join(best, (l["lt"] == best["lt"]) & l["ly"].eqNullSafe(best["ly"]))
     return out.select("l_id", F.col("b.r_id").alias("r_id"), F.col("b.distance").alias("distance"), (-F.col("b.j")).alias("jaccard"))
+
+
+#: Vectors of a block of queries and of rows; a pair of blocks is one matrix product.
+QUERY_BLOCK, ROW_BLOCK = 256, 2048
+
+
+def top_by_dot_product(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, rank, similarity): for each (query_id, q) the ``k`` best (vec_id, v), clamped and rounded; ties keep the smaller id.
+
+    A pair of blocks passes on what may be among a query's best after rounding, and only that is shuffled.
+    """
+
+    def blocks(df: DataFrame, ident: str, vector: str, length: int) -> DataFrame:
+        df = df.filter(F.col(vector).isNotNull())
+        n = max(1, -(-df.count() // length))
+        return df.groupBy(F.pmod(F.xxhash64(ident), F.lit(n)).alias("_b")).agg(F.collect_list(F.struct(ident, vector)).alias(f"{ident}s")).drop("_b")
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for qs, rs in zip(b["query_ids"], b["vec_ids"]):
+                ids = np.array([r["vec_id"] for r in rs])
+                dots = np.array([q["q"] for q in qs]) @ np.array([r["v"] for r in rs]).T
+                dots = np.clip(dots, -1.0, 1.0)
+                least = np.partition(dots, -k, axis=1)[:, [-k]] - 2e-5 if dots.shape[1] > k else np.full((len(dots), 1), -2.0)
+                i, j = np.nonzero(dots >= least)
+                yield pd.DataFrame({"query_id": np.array([q["query_id"] for q in qs])[i], "vec_id": ids[j], "similarity": dots[i, j]})
+
+    pairs = blocks(rows, "vec_id", "v", ROW_BLOCK).crossJoin(blocks(queries, "query_id", "q", QUERY_BLOCK))
+    best = pairs.mapInPandas(multiply, "query_id long, vec_id long, similarity double").withColumn("similarity", F.round("similarity", 5))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "vec_id")).cast("long")
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "vec_id", "rank", "similarity")
