@@ -41,7 +41,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_copies(spark: SparkSession, sf: str) -> DataFrame:
-    return collapse_formatting(cut(_sound_names(spark, sf)))
+    return collapse_formatting(table(spark, sf, "torrents").select("info_hash", "name"))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
