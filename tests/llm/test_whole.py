@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
+from sparkloom.llm.linkage import link_names
 from sparkloom.llm.queries import p1_copies
 
 
@@ -14,3 +17,12 @@ def test_copies_count_every_name(spark, tmp_path):
     spark.createDataFrame([(word, word)], "title string, original_title string").write.parquet(f"{tmp_path}/content.parquet")
     rows = p1_copies(spark, str(tmp_path)).collect()
     assert sorted(r["n_copies"] for r in rows) == [2, 2, 3]
+
+
+def test_a_slip_of_the_pen_beside_other_titles(spark):
+    at = dt.datetime(2024, 1, 1)
+    works = [("movie", "tmdb", "1", "Silvern Harbour", None, 2010, 5.0, at), ("tv_show", "tvdb", "2", "Silvern", None, 2010, 5.0, at), ("movie", "tmdb", "3", "Silvern", None, 1970, 5.0, at), ("movie", "tmdb", "4", "Quiet Meadow Tide", None, 2001, 5.0, at), ("movie", "tmdb", "5", "Quiet", None, 1960, 5.0, at)]
+    names = [("a", "Silvern Habrour 2010 720p"), ("b", "Silvern Harbour 2010 720p"), ("c", "Silvern S01E02 720p"), ("d", "Quiet Meadwo Tide 2001 1080p")]
+    schema = "content_type string, content_source string, content_id string, title string, original_title string, release_year int, popularity double, updated_at timestamp"
+    rows = link_names(spark.createDataFrame(names, "info_hash string, text string"), spark.createDataFrame(works, schema)).collect()
+    assert {r["info_hash"]: r["content_id"] for r in rows} == {"a": "1", "b": "1", "c": "2", "d": "4"}
