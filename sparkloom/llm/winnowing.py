@@ -73,7 +73,30 @@ def best_alignment(a: list[int], b: list[int]) -> tuple[int, int]:
     return best, words
 
 
-def _aligner(least_score: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def longest_alignment(a: list[int], b: list[int], least_words: int, least_score: int) -> tuple[int, int]:
+    """(score, item words) of the longest alignment that begins and ends with a word in common and reaches both limits, else (0, 0).
+
+    The best alignment leaves out edits near its ends; this one keeps them.
+    """
+    y = np.asarray(b)
+    j = np.arange(len(y))
+    found = (0, 0)
+    for s in range(len(a) - least_words + 1):
+        if not (y == a[s]).any():
+            continue
+        h = np.where(y == a[s], 1, -len(a) - len(y) - 1)
+        for i in range(s + 1, len(a)):
+            h = np.maximum.accumulate(h + j) - j
+            same = y[1:] == a[i]
+            diag = h[:-1] + np.where(same, 1, -1)
+            words = i + 1 - s
+            if words >= least_words and same.any() and (score := int(diag[same].max())) >= least_score:
+                found = max(found, (words, score))
+            h = np.concatenate(([h[0] - 1], np.maximum(diag, h[1:] - 1)))
+    return found[1], found[0]
+
+
+def _aligner(least_score: int, least_words: int = 0) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Align pairs; those whose words in common, in any order, are fewer than the least score can't reach it and are left out."""
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,14 +114,18 @@ def _aligner(least_score: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd
                 words = [ids.get(w, -1) for w in dw]
                 common = Counter(w for w in words if w >= 0)
                 if sum(min(n, counts[w]) for w, n in common.items()) >= least_score:
-                    out.append((doc, item, *best_alignment(a, words)))
+                    score, span = best_alignment(a, words)
+                    if score >= least_score and span < least_words:
+                        longer = longest_alignment(a, words, least_words, least_score)
+                        score, span = longer if longer[1] else (score, span)
+                    out.append((doc, item, score, span))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "item_span"])
 
     return align
 
 
-def aligned_pairs(documents: DataFrame, items: DataFrame, k: int = K, w: int = W, least_score: int = 1) -> DataFrame:
-    """(doc_id, item_id, score, item_span) of all pairs that share a fingerprint and can reach ``least_score``.
+def aligned_pairs(documents: DataFrame, items: DataFrame, k: int = K, w: int = W, least_score: int = 1, least_words: int = 0) -> DataFrame:
+    """(doc_id, item_id, score, item_span) of all pairs that share a fingerprint and can reach ``least_score``; a span below ``least_words`` is stretched over edits at its ends where that reaches both.
 
     ``documents``: doc_id, text; ``items``: item_id, text. Null and empty texts, and texts shorter than a gram, make no pair.
     Repeated rows make one pair.
@@ -111,9 +138,9 @@ def aligned_pairs(documents: DataFrame, items: DataFrame, k: int = K, w: int = W
     hits = doc_prints.join(F.broadcast(item_prints) if small else item_prints, "print").select("doc_id", "item_id").distinct()
     texts = documents.select("doc_id", "text").join(hits, "doc_id").select("doc_id", "item_id", word_list(F.col("text")).alias("words"))
     full = texts.join(F.broadcast(item.withColumnRenamed("words", "item_words")) if small else item.withColumnRenamed("words", "item_words"), "item_id")
-    return full.mapInPandas(_aligner(least_score), "doc_id long, item_id long, score int, item_span int").groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("item_span").alias("item_span"))
+    return full.mapInPandas(_aligner(least_score, least_words), "doc_id long, item_id long, score int, item_span int").groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("item_span").alias("item_span"))
 
 
 def leaked_passages(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, item_span): documents that hold a passage of an item."""
-    return aligned_pairs(documents, items, least_score=LEAST_SCORE).filter((F.col("item_span") >= LEAST_WORDS) & (F.col("score") >= LEAST_SCORE))
+    return aligned_pairs(documents, items, least_score=LEAST_SCORE, least_words=LEAST_WORDS).filter((F.col("item_span") >= LEAST_WORDS) & (F.col("score") >= LEAST_SCORE))

@@ -6,6 +6,7 @@ import datetime as dt
 
 from sparkloom.llm.linkage import link_names
 from sparkloom.llm.queries import p1_copies
+from sparkloom.llm.winnowing import leaked_passages
 
 
 def test_copies_count_every_name(spark, tmp_path):
@@ -26,3 +27,14 @@ def test_a_slip_of_the_pen_beside_other_titles(spark):
     schema = "content_type string, content_source string, content_id string, title string, original_title string, release_year int, popularity double, updated_at timestamp"
     rows = link_names(spark.createDataFrame(names, "info_hash string, text string"), spark.createDataFrame(works, schema)).collect()
     assert {r["info_hash"]: r["content_id"] for r in rows} == {"a": "1", "b": "1", "c": "2", "d": "4"}
+
+
+def test_passages_with_edits_near_their_ends(spark):
+    words = [f"w{i}" for i in range(16)]
+    docs = []
+    for n, x, y in [(n, x, y) for n in (15, 16) for x in range(n) for y in range(x)]:
+        docs.append((len(docs), " ".join("other" if k in (x, y) else w for k, w in enumerate(words[:n]))))
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    found = {r["doc_id"] for r in leaked_passages(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert len(found) == len(docs) == 225
+    assert leaked_passages(spark.createDataFrame([(1, " ".join(words[:12]))], "doc_id long, text string"), items).count() == 0
