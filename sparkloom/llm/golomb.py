@@ -2,8 +2,9 @@
 
 Rows are cut into epochs in order of arrival; the distinct keys of each epoch make one set: hashes reduced to a target
 range, sorted, and their gaps Rice-coded in blocks of the range. The first row of a key in an epoch probes the blocks of all
-earlier epochs that cover its hash; only these are decoded. A miss is certain; a hit is confirmed exactly, which also gives
-the audited rate of wrong answers beside the theoretical one. Memory of a task is bounded by one block of each epoch.
+earlier epochs that cover its hash; only these are decoded. A miss is certain and needs nothing more; only hits are
+confirmed exactly, which also gives the audited rate of wrong answers beside the theoretical one. Memory of a task is bounded
+by one block of the range, whose number grows with the keys, whatever the size of an epoch.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ from pyspark.sql import functions as F
 
 from sparkloom.session import cut
 
-#: Bits per key beyond log2 of the set's size: a key that is absent from a set hits it with probability 2 ** -PRECISION.
+#: Bits beyond log2 of the number of all keys: an absent key hits the sets together with probability 2 ** -PRECISION at most.
 PRECISION = 10
-#: Keys of one epoch per block, about.
-BLOCK_KEYS = 8192
-#: Epochs the rows are cut into.
-EPOCHS = 8
+#: Keys of all epochs per block, about.
+BLOCK_KEYS = 65_536
+#: Epochs the rows are cut into: the more there are, the fewer repeats fall within one.
+EPOCHS = 64
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _DIGITS32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -80,23 +81,29 @@ def build_sets(keys: DataFrame, range_bits: int, block_bits: int) -> DataFrame:
     return rows.groupBy("epoch", "block").applyInPandas(pack, "epoch int, block long, n int, rice int, data binary")
 
 
-def probe_sets(probes: DataFrame, sets: DataFrame, range_bits: int, block_bits: int) -> DataFrame:
-    """(epoch, key, hit): does any set of an earlier epoch seem to hold the key? Decodes only blocks that are probed."""
+def probe_sets(keys: DataFrame, sets: DataFrame, range_bits: int, block_bits: int) -> DataFrame:
+    """(epoch, key, hit): the rows whose reduced hash some set of an earlier epoch holds (``hit``), and the earlier rows of that hash.
+
+    Decodes only blocks that are probed, each once; the earliest epoch of every value decides, so the number of epochs costs
+    nothing. Rows whose hash is new when they arrive, and isn't met again, are certainly first and are not passed on.
+    """
     inner = range_bits - block_bits
     reduced = F.shiftrightunsigned(F.xxhash64("key"), 64 - range_bits)
-    rows = probes.select("epoch", "key", F.shiftright(reduced, inner).alias("block"), reduced.bitwiseAND(F.lit((1 << inner) - 1)).alias("r"))
+    rows = keys.select("epoch", "key", F.shiftright(reduced, inner).alias("block"), reduced.bitwiseAND(F.lit((1 << inner) - 1)).alias("r"))
 
     def look(asked: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
-        hit = np.zeros(len(asked), dtype=bool)
-        if len(asked):
-            epochs, r = asked["epoch"].to_numpy(), asked["r"].to_numpy()
-            for e, n, rice, data in zip(blocks["epoch"], blocks["n"], blocks["rice"], blocks["data"]):
-                later = np.flatnonzero(epochs > e)
-                if len(later):
-                    values = decode_gaps(data, n, rice)
-                    at = np.minimum(np.searchsorted(values, r[later]), n - 1)
-                    hit[later] |= values[at] == r[later]
-        return pd.DataFrame({"epoch": asked["epoch"], "key": asked["key"], "hit": hit})
+        if not len(asked) or not len(blocks):
+            return pd.DataFrame({"epoch": asked["epoch"], "key": asked["key"], "hit": np.zeros(len(asked), dtype=bool)})[:0]
+        values = np.concatenate([decode_gaps(d, n, rice) for n, rice, d in zip(blocks["n"], blocks["rice"], blocks["data"])])
+        epochs = np.repeat(blocks["epoch"].to_numpy(), blocks["n"].to_numpy())
+        order = np.lexsort((epochs, values))
+        held, at = np.unique(values[order], return_index=True)
+        since = epochs[order][at]
+        r = asked["r"].to_numpy()
+        found = np.minimum(np.searchsorted(held, r), len(held) - 1)
+        hit = (held[found] == r) & (since[found] < asked["epoch"].to_numpy())
+        asked = asked.assign(hit=hit)
+        return asked[asked["r"].isin(asked["r"][hit])][["epoch", "key", "hit"]]
 
     return rows.groupBy("block").cogroup(sets.groupBy("block")).applyInPandas(look, "epoch int, key binary, hit boolean")
 
@@ -107,24 +114,26 @@ class SeenBefore:
     ``rows``: ``id`` (order of arrival, any long) and ``hash`` (40 hex digits or null); ``known``: ``hash``. Null hashes are no
     keys. With empty tables nothing was seen. A key that holds most rows costs no more: rows are aggregated to the first of
     each epoch and key before anything is shuffled, and the answer is an anti-join on ids.
+
+    The sets decide: a row that no earlier set holds is first, and only hits, with the earlier rows of the same reduced hash,
+    go on to the exact confirmation. Repeats within an epoch fall together in the aggregation.
     """
 
     def __init__(self, rows: DataFrame, known: DataFrame, epochs: int = EPOCHS, precision: int = PRECISION, block_keys: int = BLOCK_KEYS):
         self.rows = rows.filter(F.col("hash").isNotNull()).select("id", F.unhex("hash").alias("key"))
-        cuts = sorted(set(rows.approxQuantile("id", [i / epochs for i in range(1, epochs)], 0.001)))
-        epoch = sum((F.when(F.col("id") > int(c), 1).otherwise(0) for c in cuts), F.lit(1))
+        cuts = sorted(set(rows.approxQuantile("id", [i / epochs for i in range(1, epochs)], 0.1 / epochs)))
+        epoch = F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]).cast("array<bigint>"), lambda c: c < F.col("id"))) + 1
         firsts = self.rows.groupBy(epoch.cast("int").alias("epoch"), "key").agg(F.min("id").alias("first_id"))
         earlier = known.filter(F.col("hash").isNotNull()).select(F.lit(0).alias("epoch"), F.unhex("hash").alias("key")).distinct()
         self.keys = cut(firsts.unionByName(earlier.withColumn("first_id", F.lit(None).cast("long"))))
         self.sizes = {r["epoch"]: r["n"] for r in self.keys.groupBy("epoch").agg(F.count("*").alias("n")).collect()}  # one row an epoch
-        most = max(self.sizes.values(), default=1)
-        self.block_bits = max(0, math.ceil(math.log2(max(1, most / block_keys))))
-        self.range_bits = min(62, max(self.block_bits + 1, math.ceil(math.log2(max(2, most))) + precision))
-        sets = build_sets(self.keys.select("epoch", "key"), self.range_bits, self.block_bits)
-        self.sets = cut(sets)
-        self.probed = cut(probe_sets(self.keys.filter("epoch > 0").select("epoch", "key"), self.sets, self.range_bits, self.block_bits))
-        since = self.keys.groupBy("key").agg(F.min("epoch").alias("since"))
-        self.confirmed = self.probed.filter("hit").join(since, "key").filter("since < epoch").select("epoch", "key")
+        every = max(1, sum(self.sizes.values()))
+        self.block_bits = max(0, math.ceil(math.log2(max(1, every / block_keys))))
+        self.range_bits = min(62, max(self.block_bits + 1, math.ceil(math.log2(max(2, every))) + precision))
+        self.sets = cut(build_sets(self.keys.select("epoch", "key"), self.range_bits, self.block_bits))
+        self.candidates = cut(probe_sets(self.keys.select("epoch", "key"), self.sets, self.range_bits, self.block_bits))
+        since = self.candidates.groupBy("key").agg(F.min("epoch").alias("since"))
+        self.confirmed = self.candidates.filter("hit").join(since, "key").filter("since < epoch").select("epoch", "key")
 
     def seen(self) -> DataFrame:
         """(id): rows whose key occurred before."""
@@ -132,21 +141,29 @@ class SeenBefore:
         return self.rows.select("id").join(again, "id", "left_anti")
 
     def rates(self) -> DataFrame:
-        """One row: probes, hits, confirmed hits, wrong answers, their audited and theoretical rate among absent keys, bits per key."""
+        """One row: probes, hits, confirmed hits, wrong answers, their audited and theoretical rate among absent keys, bits per key,
+        and the rows that the exact step moves with the sets (``rows_confirmed``) and would move without them (``rows_without_sets``)."""
         spark = self.rows.sparkSession
         r, size = float(1 << self.range_bits), self.sizes
-        below = {e: 1 - math.prod(1 - size[x] / r for x in size if x < e) for e in size}
-        chance = F.create_map(*[F.lit(x) for e in sorted(below) for x in (e, float(below[e]))])[F.col("epoch")] if below else F.lit(0.0)
-        judged = self.probed.join(self.confirmed.withColumn("was", F.lit(True)), ["epoch", "key"], "left").withColumn("absent", F.col("was").isNull())
-        out = judged.agg(
-            F.count("*").alias("probes"), F.count_if("hit").alias("hits"), F.count_if(~F.col("absent")).alias("confirmed"),
-            F.count_if(F.col("hit") & F.col("absent")).alias("wrong"), F.count_if("absent").alias("absent"),
-            F.coalesce(F.avg(F.when(F.col("absent"), chance)), F.lit(0.0)).alias("theoretical_rate"),
-        )
+        told = self.candidates.groupBy("epoch").agg(F.count("*").alias("moved"), F.count_if("hit").alias("hits"))
+        right = self.confirmed.groupBy("epoch").agg(F.count("*").alias("confirmed"))
+        per = {x["epoch"]: x for x in told.join(right, "epoch", "left").collect()}  # one row an epoch
+        probes = hits = confirmed = absent = moved = 0
+        expected, before = 0.0, 1.0
+        for e in sorted(size):
+            x = per.get(e)
+            if e > 0:
+                sure = (x and x["confirmed"]) or 0
+                probes, confirmed, absent = probes + size[e], confirmed + sure, absent + size[e] - sure
+                hits += x["hits"] if x else 0
+                expected += (size[e] - sure) * (1 - before)
+            moved += x["moved"] if x else 0
+            before *= 1 - size[e] / r
+        wrong = hits - confirmed
+        one = [(probes, hits, confirmed, wrong, round(wrong / absent, 8) if absent else 0.0, round(expected / absent, 8) if absent else 0.0, moved, sum(size.values()))]
+        out = spark.createDataFrame(one, "probes long, hits long, confirmed long, wrong long, audited_rate double, theoretical_rate double, rows_confirmed long, rows_without_sets long")
         bits = self.sets.agg((F.coalesce(F.sum(F.length("data")), F.lit(0)) * 8).alias("bits"), F.coalesce(F.sum("n"), F.lit(0)).alias("stored"))
         return out.crossJoin(bits).select(  # one row each
-            "probes", "hits", "confirmed", "wrong",
-            F.round(F.coalesce(F.try_divide(F.col("wrong").cast("double"), F.col("absent")), F.lit(0.0)), 8).alias("audited_rate"),
-            F.round("theoretical_rate", 8).alias("theoretical_rate"),
-            F.round(F.coalesce(F.try_divide(F.col("bits").cast("double"), F.col("stored")), F.lit(0.0)), 3).alias("bits_per_key"),
+            "probes", "hits", "confirmed", "wrong", "audited_rate", "theoretical_rate",
+            F.round(F.coalesce(F.try_divide(F.col("bits").cast("double"), F.col("stored")), F.lit(0.0)), 3).alias("bits_per_key"), "rows_confirmed", "rows_without_sets",
         )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from sparkloom.llm.golomb import SeenBefore
 from sparkloom.llm.linkage import link_names
 from sparkloom.llm.queries import p1_copies
 from sparkloom.llm.winnowing import leaked_passages
@@ -38,3 +39,20 @@ def test_passages_with_edits_near_their_ends(spark):
     found = {r["doc_id"] for r in leaked_passages(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
     assert len(found) == len(docs) == 225
     assert leaked_passages(spark.createDataFrame([(1, " ".join(words[:12]))], "doc_id long, text string"), items).count() == 0
+
+
+def test_coded_sets_spare_the_exact_step(spark):
+    rows = [(i, f"{i * 7919 % 900:040x}") for i in range(1200)]  # 900 keys, the last 300 rows repeat the first ones
+    s = SeenBefore(spark.createDataFrame(rows, "id long, hash string"), spark.createDataFrame([], "hash string"), epochs=6, precision=12, block_keys=100)
+    assert sorted(r["id"] for r in s.seen().collect()) == list(range(900, 1200))
+    r = s.rates().first()
+    assert r["confirmed"] == 300 and r["rows_without_sets"] == 1200 and r["rows_confirmed"] < 620
+    everything = s.candidates.count()
+    assert everything == r["rows_confirmed"]
+
+
+def test_epochs_change_no_answer(spark):
+    rows = [(i, None if i % 7 == 0 else f"{i * i % 211:040x}") for i in range(700)]
+    df, known = spark.createDataFrame(rows, "id long, hash string"), spark.createDataFrame([(f"{3:040x}",), (None,)], "hash string")
+    got = [sorted(r["id"] for r in SeenBefore(df, known, epochs=e).seen().collect()) for e in (1, 3, 64)]
+    assert got[0] == got[1] == got[2] and got[0]
