@@ -9,7 +9,7 @@ from sparkloom.functions.naming import bracket_marks, file_search_strings, wante
 from sparkloom.operators.evaluation import cluster_bootstrap, paired_comparison, scores, weighted_rules
 from sparkloom.operators.snapshots import apply_changes, plan_changes, remove_with_snapshot, restore, union_of_removed
 from sparkloom.queries.registry import Registry
-from sparkloom.session import spread, table
+from sparkloom.session import table, widen
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
@@ -72,7 +72,7 @@ def removed_places(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def wanted_item_keys(spark: SparkSession, sf: str) -> DataFrame:
-    t = spread(table(spark, sf, "torrents").select("info_hash", "name")).select("info_hash", wanted_keys("name").alias("key"))
+    t = widen(table(spark, sf, "torrents").select("info_hash", "name")).select("info_hash", wanted_keys("name").alias("key"))
     return t.filter(F.col("key").isNotNull()).groupBy("key").agg(F.count("*").alias("n"), F.min("info_hash").alias("first"))
 
 

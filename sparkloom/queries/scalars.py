@@ -10,7 +10,7 @@ from sparkloom.functions import release as R
 from sparkloom.functions.episodes import episode_numbers, episodes_of, episodes_text, has_episodes
 from sparkloom.functions.titles import date_in, normalized_title, title_and_year, title_family, token_jaccard
 from sparkloom.queries.registry import Registry
-from sparkloom.session import micros, spread, table
+from sparkloom.session import micros, table, widen
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
@@ -64,7 +64,7 @@ def scalar_episode_numbers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def scalar_episodes_map(spark: SparkSession, sf: str) -> DataFrame:
-    t = spread(table(spark, sf, "torrents").select("info_hash", "name")).withColumn("episodes", episodes_of("name"))
+    t = widen(table(spark, sf, "torrents").select("info_hash", "name")).withColumn("episodes", episodes_of("name"))
     series = F.col("episodes").isNotNull()
     n_eps = F.size(F.element_at(F.map_values("episodes"), 1))
     return t.select("info_hash", episodes_text("name").alias("text"), R.granularity(series, F.size("episodes"), n_eps, F.col("name")).alias("granularity"), has_episodes(F.col("episodes"), 1, [1, 2]).alias("has_s01e01_02"))
@@ -72,13 +72,13 @@ def scalar_episodes_map(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def scalar_titles(spark: SparkSession, sf: str) -> DataFrame:
-    c = spread(table(spark, sf, "content").select("content_type", "content_source", "content_id", "updated_at", F.coalesce("original_title", "title").alias("t")))
+    c = widen(table(spark, sf, "content").select("content_type", "content_source", "content_id", "updated_at", F.coalesce("original_title", "title").alias("t")))
     return c.select("content_type", "content_source", "content_id", "updated_at", normalized_title("t").alias("normalized"), title_family("t").alias("family"))
 
 
 @query()
 def scalar_title_year(spark: SparkSession, sf: str) -> DataFrame:
-    t = spread(table(spark, sf, "torrents").select("info_hash", "name"))
+    t = widen(table(spark, sf, "torrents").select("info_hash", "name"))
     return t.select("info_hash", title_and_year("name").alias("p"), date_in("name").alias("air_date")).select("info_hash", "p.*", "air_date")
 
 
@@ -130,7 +130,7 @@ def list_functions(spark: SparkSession, sf: str) -> DataFrame:
 
 def _posts(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit(0).alias("chunk"), F.lit("D").alias("weight"), "text")
-    return fts.postings(spread(d))
+    return fts.postings(widen(d))
 
 
 _ASCII = "(SELECT doc_id, unnest(w) AS lexeme, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: x <> '') AS w FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*')))".replace("\\\\", "\\")
@@ -138,7 +138,7 @@ _ASCII = "(SELECT doc_id, unnest(w) AS lexeme, generate_subscripts(w, 1) AS pos
 
 def _ascii_posts(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").filter(F.col("text").rlike(r"^[\x00-\x7f]*$"))
-    return fts.postings(spread(d.select(F.col("doc_id").alias("id"), F.lit(0).alias("chunk"), F.lit("D").alias("weight"), "text")))
+    return fts.postings(widen(d.select(F.col("doc_id").alias("id"), F.lit(0).alias("chunk"), F.lit("D").alias("weight"), "text")))
 
 
 @query(f"SELECT lexeme, count(DISTINCT doc_id) AS documents, count(*) AS postings, sum(pos)::BIGINT AS positions FROM {_ASCII} GROUP BY 1")
@@ -185,5 +185,5 @@ def fts_ranked(spark: SparkSession, sf: str) -> DataFrame:
     """All matches with their cover-density rank, over weighted chunks of title, original title and overview."""
     c = table(spark, sf, "content").withColumn("id", F.concat_ws(":", "content_type", "content_source", "content_id", micros("updated_at").cast("string")))
     chunks = F.array(*[F.struct(F.lit(i).alias("chunk"), F.lit(w).alias("weight"), F.col(t).cast("string").alias("text")) for i, (t, w) in enumerate((("title", "A"), ("original_title", "A"), ("release_year", "B"), ("overview", "D")))])
-    posts = fts.postings(spread(c.select("id", F.explode(chunks).alias("c")).select("id", "c.*").distinct()))
+    posts = fts.postings(widen(c.select("id", F.explode(chunks).alias("c")).select("id", "c.*")).distinct())
     return fts.cover_density(fts.match(posts, fts.parse_query("meadow | (silent . anchor*) | бел*")))

@@ -30,10 +30,14 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; make one only where the setting is absent (tests)."""
+    """Use the shared folder of ``spark.checkpoint.dir``. Where it is unset, a local master gets a folder of its own (tests);
+    on a cluster that is an error, as executors can't share a machine's folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkloom-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sparkloom-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -43,11 +47,22 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Spread a small-file input over all cores before CPU-heavy work; by hash of ``cols`` if given."""
+    """Spread a computed frame over all cores before CPU-heavy work; by hash of ``cols`` if given."""
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
     return df.repartition(n, *cols) if cols else df.repartition(n)
 
 
+def widen(scan: DataFrame) -> DataFrame:
+    """A scan (filters and projections at most) with work for every core.
+
+    A scan of as many splits as there are cores stays as it is and is never shuffled; one of fewer is small by the split size
+    (``spark.sql.files.maxPartitionBytes``) and is spread.
+    """
+    splits = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if splits >= cores else scan.repartition(cores)
+
+
 def micros(ts: Column | str) -> Column:
     """Microseconds since the epoch of a timestamp with or without a zone (UTC)."""
     return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
