@@ -121,7 +121,7 @@ class SeenBefore:
 
     def __init__(self, rows: DataFrame, known: DataFrame, epochs: int = EPOCHS, precision: int = PRECISION, block_keys: int = BLOCK_KEYS):
         self.rows = rows.filter(F.col("hash").isNotNull()).select("id", F.unhex("hash").alias("key"))
-        cuts = sorted(set(rows.approxQuantile("id", [i / epochs for i in range(1, epochs)], 0.1 / epochs)))
+        cuts = sorted(set(rows.approxQuantile("id", [i / epochs for i in range(1, epochs)], 0.1 / epochs))) if epochs > 1 else []
         epoch = F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]).cast("array<bigint>"), lambda c: c < F.col("id"))) + 1
         firsts = self.rows.groupBy(epoch.cast("int").alias("epoch"), "key").agg(F.min("id").alias("first_id"))
         earlier = known.filter(F.col("hash").isNotNull()).select(F.lit(0).alias("epoch"), F.unhex("hash").alias("key")).distinct()
