@@ -56,9 +56,12 @@ def widen(scan: DataFrame) -> DataFrame:
     """A scan (filters and projections at most) with work for every core.
 
     A scan of as many splits as there are cores stays as it is and is never shuffled; one of fewer is small by the split size
-    (``spark.sql.files.maxPartitionBytes``) and is spread.
+    (``spark.sql.files.maxPartitionBytes``) and is spread. A frame that shuffles is left to adaptive execution.
     """
-    splits = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    run = scan._jdf.queryExecution()
+    if run.executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return scan
+    splits = run.toRdd().getNumPartitions()
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if splits >= cores else scan.repartition(cores)
 
