@@ -3,13 +3,14 @@
 Statistics are JVM expressions over whole texts. For each statistic and language, the distinct values are range-partitioned
 and sorted; partition totals give offsets, so every value gets its exact rank and both of its empirical tail probabilities.
 Values occur in countless documents, so the value table, not the documents, is sorted, and values that hold many documents
-are salted when the tails are joined back. Tail probabilities are combined over the statistics into outlier scores; a
-classifier over them, fitted on a bounded labelled sample, decides what is mostly not prose.
+are salted when the tails are joined back. The surprises -ln(tail) are combined over the statistics into one outlier score, which
+decides what is mostly not prose; a bounded labelled sample gives its weights, none below zero, and its threshold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,15 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkloom.session import cut, pin, salt_of, spread
+from sparkloom.session import cut, pin, salt_of, widen
 
-# The most common function words of the four languages.
-COMMON_WORDS = {
-    "en": "the of and to a in that is was it for on with as his her he she they be at by not this but had have from or which an were are who will one all their there been has would when if no so what up said out about than into them can only other do could its because while after before every nobody where we i you my me your our".split(),
-    "fr": "le la les de des du un une et à il elle en dans que qui ne pas ce se sur pour par plus au avec est son sa ses on je nous vous mais ou si leur y a été sont cette ces très tout comme aux quand sans sous entre ont".split(),
-    "de": "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an er hat aus bei sie nach wird wie noch einen einer um am sind so zum war haben nur oder aber vor zur bis mehr durch man sein ich wir wenn kein".split(),
-    "es": "el la los las de que y a en un una ser se no por con para su al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta son también fue había muy hasta desde está mi hay donde quien nos del es".split(),
-}
+#: Words of a language that count as common: those that the most documents of the corpus hold.
+COMMON = 64
+# The languages told apart; all others and unknown ones form one more group.
+KNOWN_LANGUAGES = ["de", "en", "es", "fr"]
 # Spellings of language codes.
 LANGUAGES = {"eng": "en", "fra": "fr", "fre": "fr", "deu": "de", "ger": "de", "spa": "es", "esp": "es"}
 SALTS = 16
@@ -42,20 +40,42 @@ def language_of(lang: Column) -> Column:
     """Two-letter code; 'und' where the code is null or unknown."""
     code = F.lower(F.trim(lang))
     code = F.coalesce(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[code], F.substring(code, 1, 2))
-    return F.when(code.isin(*COMMON_WORDS), code).otherwise("und")
+    return F.when(code.isin(*KNOWN_LANGUAGES), code).otherwise("und")
 
 
-def text_statistics(documents: DataFrame) -> DataFrame:
-    """doc_id, language and the statistics of every document, each rounded to four digits. Null and empty texts have zeros."""
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"[^\p{L}\p{N}\p{M}]+"), lambda w: w != "")
+
+
+def common_words(documents: DataFrame, most: int = COMMON) -> dict[str, list[str]]:
+    """Per language, the ``most`` words that the most of all its documents hold; ties go to the smaller word.
+
+    Counts combine before the shuffle, each partition passes on its best ``most``, and only ``most`` words a language are
+    collected.
+    """
+    words = widen(documents.select(language_of(F.col("lang")).alias("language"), "text")).select("language", F.explode(F.array_distinct(F.transform(_words(F.col("text")), F.lower))).alias("word"))
+    counts = words.groupBy("language", "word").agg(F.count("*").alias("n"))
+    best = counts.withColumn("k", F.row_number().over(Window.partitionBy("language").orderBy(F.col("n").desc(), "word"))).filter(F.col("k") <= most)
+    out: dict[str, list[str]] = {}
+    for r in best.select("language", "word").orderBy("language", "word").collect():
+        out.setdefault(r["language"], []).append(r["word"])
+    return out
+
+
+def text_statistics(documents: DataFrame, common: dict[str, list[str]] | None = None) -> DataFrame:
+    """doc_id, language and the statistics of every document, each rounded to four digits. Null and empty texts have zeros.
+
+    ``common``: common words by language; without it, those of ``documents`` itself.
+    """
+    common = common_words(documents) if common is None else common
     text = F.coalesce(F.col("text"), F.lit(""))
     n_chars = F.greatest(F.length(text), F.lit(1))
-    raw_words = F.filter(F.split(text, r"[^\p{L}\p{N}\p{M}]+"), lambda w: w != "")
+    raw_words = _words(text)
     lines = F.filter(F.split(text, r"\R"), lambda x: F.trim(x) != "")
-    full = spread(documents.select("doc_id", language_of(F.col("lang")).alias("language"), text.alias("text")))
+    full = widen(documents.select("doc_id", language_of(F.col("lang")).alias("language"), text.alias("text")))
     gone = lambda pattern: F.length("text") - F.length(F.regexp_replace("text", pattern, ""))
     base = pin(full, rw=raw_words, ls=lines, nc=n_chars, n_letters=gone(r"\p{L}+"), n_digits=gone(r"\p{N}+"), n_others=gone(r"[\p{M}\s]+"))
     base = pin(base, ws=F.transform("rw", F.lower))
-    every = sorted({w for ws in COMMON_WORDS.values() for w in ws})
     n, m = F.greatest(F.size("ws"), F.lit(1)), F.greatest(F.size("ls"), F.lit(1))
 
     def count(chars: str) -> Column:
@@ -72,7 +92,7 @@ def text_statistics(documents: DataFrame) -> DataFrame:
         "upper_word_share": share("rw", lambda w: w.rlike(r"^\p{Lu}[\p{Lu}\p{N}]+$"), n),
         "end_mark_line_share": share("ls", lambda x: x.rlike(r"[.!?…。！？][\"'”’»)\]]*\s*$"), m),
         "bullet_line_share": share("ls", lambda x: x.rlike(r"^\s*(?:[-*•·#>+]|\d+[.)]|\[[ xX]?\])\s*"), m),
-        "common_word_share": F.size(F.filter("ws", lambda w: w.isin(*every))) / n,
+        "common_word_share": reduce(lambda a, kv: F.when(F.col("language") == kv[0], F.size(F.filter("ws", lambda w: w.isin(*kv[1])))).otherwise(a), common.items(), F.lit(0)) / n,
         "words_per_line": n / m,
         "sentence_density": F.size(F.filter(F.split("text", r"(?<=\p{Ll}[.!?…])(?=\s|$)"), lambda x: F.trim(x) != "")) / n,
         "comma_density": count(",;") / n,
@@ -134,34 +154,56 @@ def outlier_scores(documents: DataFrame) -> DataFrame:
     return wide
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a penalised logistic regression by Newton's method, for unscaled features."""
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    z = np.c_[np.ones(len(x)), (x - mean) / scale]
+def fit_weights(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Weights of zero or more for the tail surprises ``x`` and the threshold of their weighted sum, by projected Newton steps on
+    the penalised logistic loss of the labels ``y``."""
+    scale = x.std(0) + 1e-9
+    z = np.c_[np.ones(len(x)), x / scale]
     w = np.zeros(z.shape[1])
-    ridge = penalty * len(x) * np.eye(z.shape[1])
-    ridge[0, 0] = 0
+    ridge = penalty * len(x) * np.r_[0.0, np.ones(x.shape[1])]
+
+    def loss(v: np.ndarray) -> float:
+        m = z @ v
+        return float(np.logaddexp(0, m).sum() - y @ m + (ridge * v * v).sum() / 2)
+
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        w -= np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + ridge + 1e-9 * np.eye(z.shape[1]), z.T @ (p - y) + ridge @ w)
-    slopes = w[1:] / scale
-    return slopes, float(w[0] - slopes @ mean)
+        grad = z.T @ (p - y) + ridge * w
+        free = np.flatnonzero((w > 0) | (grad < 0) | (np.arange(len(w)) == 0))
+        part = z[:, free]
+        step = np.linalg.solve((part * (p * (1 - p) + 1e-6)[:, None]).T @ part + np.diag(ridge[free] + 1e-9), grad[free])
+        size, now = 1.0, loss(w)
+        while size > 1e-4:
+            new = w.copy()
+            new[free] -= size * step
+            new[1:] = np.maximum(new[1:], 0)
+            if loss(new) <= now:
+                break
+            size /= 2
+        if size <= 1e-4 or np.abs(new - w).max() < 1e-7:
+            break
+        w = new
+    return w[1:] / scale, float(-w[0])
 
 
 def not_prose(documents: DataFrame, labels: DataFrame, bound: int = LABELLED_BOUND) -> DataFrame:
-    """(doc_id, outlier, p_not_prose) of every document. ``labels``: doc_id, text_kind ('prose' or anything else).
+    """(doc_id, outlier, threshold, p_not_prose, even_outlier) of every document; it is mostly not prose where ``outlier`` > ``threshold``.
 
-    The classifier sees outlier scores only; it is fitted on at most ``bound`` labelled documents, those with the smallest
-    hash of their id. Without labels of both kinds, documents whose outlier score is over twice the mean count as no prose.
+    ``labels``: doc_id, text_kind ('prose' or anything else). ``outlier`` is the sum of the document's surprises -ln(tail), each
+    times a weight of zero or more; weights and threshold are fitted on at most ``bound`` labelled documents, those with the
+    smallest hash of their id. ``even_outlier`` weighs all alike, and ``p_not_prose`` is the logistic of what ``outlier`` is over the
+    threshold. Without labels of both kinds, ``outlier`` is the even one and the threshold twice its mean in the language.
     """
     scores = cut(outlier_scores(documents))
     features = [f"{side}_{s}" for s in STATISTICS for side in ("left", "right")]
     sample = labels.select("doc_id", "text_kind").filter(F.col("text_kind").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     train = scores.join(sample, "doc_id").select("text_kind", *features).toPandas()
     y = (train["text_kind"] != "prose").to_numpy(dtype=float)
+    even = F.round("outlier", 6)
     if len(set(y)) < 2:
-        mean = F.avg("outlier").over(Window.partitionBy("language"))
-        return scores.select("doc_id", F.round("outlier", 6).alias("outlier"), F.when(F.col("outlier") > 2 * mean, 1.0).otherwise(0.0).alias("p_not_prose"))
-    slopes, intercept = fit_logistic(train[features].to_numpy(dtype=float), y)
-    margin = sum((F.col(f) * F.lit(float(w)) for f, w in zip(features, slopes)), F.lit(intercept))
-    return scores.select("doc_id", F.round("outlier", 6).alias("outlier"), F.round(1 / (1 + F.exp(-margin)), 6).alias("p_not_prose"))
+        means = scores.groupBy("language").agg((2 * F.avg("outlier")).alias("threshold"))  # one row a language
+        known = scores.join(F.broadcast(means), "language")
+        return known.select("doc_id", even.alias("outlier"), F.round("threshold", 6).alias("threshold"), F.when(F.col("outlier") > F.col("threshold"), 1.0).otherwise(0.0).alias("p_not_prose"), even.alias("even_outlier"))
+    weights, threshold = fit_weights(train[features].to_numpy(dtype=float), y)
+    total = sum((F.col(f) * F.lit(float(w)) for f, w in zip(features, weights) if w > 0), F.lit(0.0))
+    return scores.select("doc_id", F.round(total, 6).alias("outlier"), F.lit(round(threshold, 6)).alias("threshold"), F.round(1 / (1 + F.exp(threshold - total)), 6).alias("p_not_prose"), even.alias("even_outlier"))

@@ -107,7 +107,7 @@ def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p9_scores(spark, sf).filter("p_not_prose > 0.5").select("doc_id")
+    return p9_scores(spark, sf).filter("outlier > threshold").select("doc_id")
 
 
 def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
+
 from sparkloom.llm.golomb import SeenBefore
 from sparkloom.llm.linkage import link_names
+from sparkloom.llm.quality import common_words, fit_weights
 from sparkloom.llm.queries import p1_copies
 from sparkloom.llm.winnowing import leaked_passages
 
@@ -56,3 +59,18 @@ def test_epochs_change_no_answer(spark):
     df, known = spark.createDataFrame(rows, "id long, hash string"), spark.createDataFrame([(f"{3:040x}",), (None,)], "hash string")
     got = [sorted(r["id"] for r in SeenBefore(df, known, epochs=e).seen().collect()) for e in (1, 3, 64)]
     assert got[0] == got[1] == got[2] and got[0]
+
+
+def test_weights_of_surprises_are_never_negative_and_separate():
+    rnd = np.random.default_rng(3)
+    x = rnd.exponential(1.0, (400, 6))
+    y = (2 * x[:, 0] + x[:, 3] - x[:, 5] > 3).astype(float)
+    w, threshold = fit_weights(x, y)
+    assert (w >= 0).all() and w[0] > w[3] > 0 and w[5] == 0
+    assert np.mean((x @ w > threshold) == (y == 1)) > 0.85
+
+
+def test_common_words_come_from_the_corpus(spark):
+    docs = [(i, f"zul the item{i} mek zul", "en") for i in range(9)] + [(20 + i, "der zul und", "DE") for i in range(3)] + [(30, None, None), (31, "", "xx")]
+    got = common_words(spark.createDataFrame(docs, "doc_id long, text string, lang string"), most=3)
+    assert got == {"en": ["mek", "the", "zul"], "de": ["der", "und", "zul"]}
