@@ -1,13 +1,12 @@
 """Passages of held-out items inside a corpus, by winnowed fingerprints that are extended to alignments.
 
 The minimum k-gram hash of every window of w successive k-grams is kept on both sides, so every shared run of k + w - 1
-words shares a fingerprint. Corpus fingerprints meet those of the items, and each pair of a document and an item that shares
-any is extended to its best local word alignment, over whole texts.
+words shares a fingerprint. Corpus fingerprints meet those of the items, and each hit is extended in both directions to the best
+local word alignment, within the pass that made it: only the words around hits leave the scan, never the corpus text.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.session import pin, spread
+from sparkloom.session import pin, widen
 
 #: Words of a gram and grams of a window: 15 words with one in eight changed keep a run of 5, the guaranteed length.
 K, W = 3, 3
@@ -32,11 +31,14 @@ def word_list(text: Column) -> Column:
 
 
 def with_fingerprints(df: DataFrame, k: int = K, w: int = W) -> DataFrame:
-    """``df`` with a column ``prints``: distinct winnowed hashes of the array column ``words``; none below k words."""
-    grams = F.transform(F.sequence(F.lit(1), F.size("words") - (k - 1)), lambda i: F.xxhash64(*[F.get("words", i - 1 + j) for j in range(k)]))
-    with_grams = pin(df, grams=F.when(F.size("words") >= k, grams).otherwise(F.array().cast("array<bigint>")))
+    """``df`` with a column ``prints``: winnowed (print, at) of the array column ``words``, by position of the gram; none below k words."""
+    grams = F.transform(F.sequence(F.lit(1), F.size("words") - (k - 1)), lambda i: F.struct(F.xxhash64(*[F.get("words", i - 1 + j) for j in range(k)]).alias("print"), (i - 1).alias("at")))
+    none = F.array().cast("array<struct<print: bigint, at: int>>")
+    with_grams = pin(df, grams=F.when(F.size("words") >= k, grams).otherwise(none))
     windows = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("grams") - (w - 1))), lambda i: F.array_min(F.slice("grams", i, w)))
-    return with_grams.withColumn("prints", F.when(F.size("grams") > 0, F.array_distinct(windows)).otherwise(F.array().cast("array<bigint>"))).drop("grams")
+    least = pin(with_grams, least=F.when(F.size("grams") > 0, windows).otherwise(none)).drop("grams")
+    # successive windows mostly keep the same gram
+    return least.withColumn("prints", F.filter("least", lambda x, i: (i == 0) | (x["at"] != F.get("least", i - 1)["at"]))).drop("least")
 
 
 def best_alignment(a: list[int], b: list[int]) -> tuple[int, int]:
@@ -96,49 +98,105 @@ def longest_alignment(a: list[int], b: list[int], least_words: int, least_score:
     return found[1], found[0]
 
 
+def best_alignments(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    """``best_alignment`` of many (item, document window) pairs at once: one step over the item words of all of them.
+
+    Shorter ones are padded with words that equal nothing, which only lower a score.
+    """
+    n = max(len(a) for a, _ in pairs)
+    m = max(len(b) for _, b in pairs)
+    items, texts = np.full((len(pairs), n), -2, dtype=np.int32), np.full((len(pairs), m), -1, dtype=np.int32)
+    for k, (a, b) in enumerate(pairs):
+        items[k, : len(a)], texts[k, : len(b)] = a, b
+    j = np.arange(m + 1, dtype=np.int32)
+    h, start = np.zeros((len(pairs), m + 1), dtype=np.int32), np.zeros((len(pairs), m + 1), dtype=np.int32)
+    best, words = np.zeros(len(pairs), dtype=np.int32), np.zeros(len(pairs), dtype=np.int32)
+    every = np.arange(len(pairs))
+    for i in range(n):
+        t, s = h - 1, start.copy()
+        diag = h[:, :-1] + np.where(texts == items[:, i : i + 1], 1, -1)
+        better = diag >= t[:, 1:]
+        t[:, 1:] = np.where(better, diag, t[:, 1:])
+        s[:, 1:] = np.where(better, np.where(h[:, :-1] > 0, start[:, :-1], i), s[:, 1:])
+        t[:, 0] = 0
+        low = t <= 0
+        t[low], s[low] = 0, i + 1
+        lifted = t + j
+        reach = np.maximum.accumulate(lifted, axis=1)
+        src = np.maximum.accumulate(np.where(lifted == reach, j, 0), axis=1)
+        h = np.maximum(reach - j, 0)
+        start = np.where(h > 0, np.take_along_axis(s, src, axis=1), i + 1)
+        at = h.argmax(axis=1)
+        top = h[every, at]
+        more = top > best
+        best[more], words[more] = top[more], (i + 1 - start[every, at])[more]
+    return list(zip(best.tolist(), words.tolist()))
+
+
+#: Cells of one step over many alignments.
+STEP_CELLS = 400_000
+
+
 def _aligner(least_score: int, least_words: int = 0) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Align pairs; those whose words in common, in any order, are fewer than the least score can't reach it and are left out."""
+    """Extend hits to alignments; those whose words in common, in any order, are fewer than the least score can't reach it and are left out."""
 
-    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items: dict[int, tuple[dict[str, int], list[int], Counter]] = {}
+    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        items: dict[int, tuple[dict[str, int], np.ndarray, np.ndarray]] = {}
         for b in batches:
-            out = []
-            for doc, item, dw, iw in zip(b["doc_id"], b["item_id"], b["words"], b["item_words"]):
+            b = b.drop_duplicates(["doc_id", "item_id", "low"])  # the hits of a document follow one another
+            found: list[tuple] = []
+            for doc, item, window, iw in zip(b["doc_id"], b["item_id"], b["window"], b["item_words"]):
                 if item not in items:
                     if len(items) > 5_000:
                         items.clear()
                     ids = {w: n for n, w in enumerate(dict.fromkeys(iw))}
-                    a = [ids[w] for w in iw]
-                    items[item] = ids, a, Counter(a)
+                    a = np.array([ids[w] for w in iw], dtype=np.int32)
+                    items[item] = ids, a, np.bincount(a)
                 ids, a, counts = items[item]
-                words = [ids.get(w, -1) for w in dw]
-                common = Counter(w for w in words if w >= 0)
-                if sum(min(n, counts[w]) for w, n in common.items()) >= least_score:
-                    score, span = best_alignment(a, words)
+                words = np.array([ids.get(w, -1) for w in window], dtype=np.int32)
+                common = np.bincount(words[words >= 0], minlength=len(counts))
+                if np.minimum(common, counts).sum() >= least_score:
+                    found.append((doc, item, a, words))
+            found.sort(key=lambda x: (len(x[2]), len(x[3])))
+            out, at = [], 0
+            while at < len(found):
+                size = max(1, STEP_CELLS // (len(found[-1][3]) + 1))
+                part = found[at : at + size]
+                for (doc, item, a, words), (score, span) in zip(part, best_alignments([x[2:] for x in part])):
                     if score >= least_score and span < least_words:
-                        longer = longest_alignment(a, words, least_words, least_score)
+                        longer = longest_alignment(a.tolist(), words.tolist(), least_words, least_score)
                         score, span = longer if longer[1] else (score, span)
                     out.append((doc, item, score, span))
+                at += size
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "item_span"])
 
-    return align
+    return extend
 
 
-def aligned_pairs(documents: DataFrame, items: DataFrame, k: int = K, w: int = W, least_score: int = 1, least_words: int = 0) -> DataFrame:
+def aligned_pairs(documents: DataFrame, items: DataFrame, k: int = K, w: int = W, least_score: int = 1, least_words: int = 0, broadcast_up_to: int = BROADCAST_FINGERPRINTS) -> DataFrame:
     """(doc_id, item_id, score, item_span) of all pairs that share a fingerprint and can reach ``least_score``; a span below ``least_words`` is stretched over edits at its ends where that reaches both.
 
     ``documents``: doc_id, text; ``items``: item_id, text. Null and empty texts, and texts shorter than a gram, make no pair.
-    Repeated rows make one pair.
+    Repeated rows make one pair. An alignment of any score adds no more words than it has in common, so it stays within the item's
+    length of the diagonal of a hit; only that window goes on, cut in the pass that makes the hit. Item tables of more than
+    ``broadcast_up_to`` fingerprints are joined by shuffle, with the same result.
     """
-    item = pin(items.select("item_id", "text"), words=word_list(F.col("text"))).drop("text")
-    item_prints = with_fingerprints(item, k, w).select("item_id", F.explode("prints").alias("print"))
-    docs = pin(spread(documents.select("doc_id", "text")), words=word_list(F.col("text"))).drop("text")
-    doc_prints = with_fingerprints(docs, k, w).select("doc_id", F.explode("prints").alias("print"))
-    small = item_prints.limit(BROADCAST_FINGERPRINTS + 1).count() <= BROADCAST_FINGERPRINTS
-    hits = doc_prints.join(F.broadcast(item_prints) if small else item_prints, "print").select("doc_id", "item_id").distinct()
-    texts = documents.select("doc_id", "text").join(hits, "doc_id").select("doc_id", "item_id", word_list(F.col("text")).alias("words"))
-    full = texts.join(F.broadcast(item.withColumnRenamed("words", "item_words")) if small else item.withColumnRenamed("words", "item_words"), "item_id")
-    return full.mapInPandas(_aligner(least_score, least_words), "doc_id long, item_id long, score int, item_span int").groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("item_span").alias("item_span"))
+    item = pin(items.select("item_id", "text"), item_words=word_list(F.col("text"))).drop("text")
+    item_prints = with_fingerprints(item.withColumnRenamed("item_words", "words"), k, w).select("item_id", F.explode("prints").alias("p"), F.size("words").alias("n")).select("item_id", "p.print", F.col("p.at").alias("item_at"), "n")
+    docs = pin(widen(documents.select("doc_id", "text").filter(F.length("text") > 0)), words=word_list(F.col("text"))).drop("text")
+    low = F.greatest(F.lit(0), F.col("at") - F.col("item_at") - F.col("n"))
+    low = low - low % F.col("n")  # hits that lie close share a window
+    window = F.slice("words", low + 1, 4 * F.col("n")).alias("window")
+    if item_prints.limit(broadcast_up_to + 1).count() <= broadcast_up_to:
+        hits = with_fingerprints(docs, k, w).select("doc_id", "words", F.explode("prints").alias("p")).select("doc_id", "words", "p.*").join(F.broadcast(item_prints), "print")
+        windows = hits.select("doc_id", "item_id", low.alias("low"), window)
+        full = windows.join(F.broadcast(item), "item_id")
+    else:
+        doc_prints = with_fingerprints(docs, k, w).select("doc_id", F.explode("prints").alias("p")).select("doc_id", "p.*")
+        places = doc_prints.join(item_prints, "print").select("doc_id", "item_id", low.alias("low"), "n").distinct()
+        full = docs.join(places, "doc_id").select("doc_id", "item_id", "low", F.expr("slice(words, low + 1, 4 * n)").alias("window")).join(item, "item_id")
+    made = full.select("doc_id", "item_id", "low", "window", "item_words").mapInPandas(_aligner(least_score, least_words), "doc_id long, item_id long, score int, item_span int")
+    return made.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("item_span").alias("item_span"))
 
 
 def leaked_passages(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from sparkloom.llm.golomb import SeenBefore
 from sparkloom.llm.linkage import link_names
 from sparkloom.llm.quality import common_words, fit_weights
 from sparkloom.llm.queries import p1_copies
-from sparkloom.llm.winnowing import leaked_passages
+from sparkloom.llm.winnowing import aligned_pairs, best_alignment, best_alignments, leaked_passages
 
 
 def test_copies_count_every_name(spark, tmp_path):
@@ -74,3 +74,33 @@ def test_common_words_come_from_the_corpus(spark):
     docs = [(i, f"zul the item{i} mek zul", "en") for i in range(9)] + [(20 + i, "der zul und", "DE") for i in range(3)] + [(30, None, None), (31, "", "xx")]
     got = common_words(spark.createDataFrame(docs, "doc_id long, text string, lang string"), most=3)
     assert got == {"en": ["mek", "the", "zul"], "de": ["der", "und", "zul"]}
+
+
+def test_alignments_at_once_equal_single_ones():
+    rnd = np.random.default_rng(5)
+    pairs = []
+    for _ in range(120):
+        a = rnd.integers(0, 12, rnd.integers(1, 25))
+        b = rnd.integers(-1, 12, rnd.integers(1, 60))
+        if rnd.random() < 0.5:
+            b = np.concatenate([b, a[len(a) // 4 :], b[:3]])
+        pairs.append((a.astype(np.int32), b.astype(np.int32)))
+    assert best_alignments(pairs) == [best_alignment(a.tolist(), b.tolist()) for a, b in pairs]
+
+
+def test_leaks_by_broadcast_and_by_shuffle_are_the_same(spark):
+    rnd = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rnd.choice(words, 30))) for i in range(4)]
+    docs = []
+    for d in range(40):
+        body = list(rnd.choice(words, 150))
+        body[70:70] = items[d % 4][1].split()[d % 8 : d % 8 + 18]
+        docs.append((d, " ".join(body)))
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    both = [{tuple(r) for r in aligned_pairs(df, it, least_score=8, least_words=10, broadcast_up_to=n).collect()} for n in (0, 10_000)]
+    assert both[0] == both[1] and {(d, d % 4) for d in range(40)} <= {r[:2] for r in both[0]}
+    # windows around hits give the scores of whole documents
+    ids = {w: n for n, w in enumerate(words)}
+    whole = {(d, i): best_alignment([ids[w] for w in t.split()], [ids[w] for w in doc.split()])[0] for d, doc in docs for i, t in items}
+    assert all(r[2] == whole[r[:2]] for r in both[0] if whole[r[:2]] >= 15)
