@@ -7,17 +7,19 @@ sorted partitions plus partition offsets, and each source is cut at its exact bu
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkloom.session import cut, spread
+from sparkloom.session import cut, widen
 
-#: Where the public tokenizer's ranks lie; executors read the same path.
+#: Where the public tokenizer's ranks lie on the driver; the file is shipped to the executors with the job.
 TOKENIZER_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the public byte-level BPE vocabulary splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -34,13 +36,15 @@ def _encoding(path: str):
 
 def token_counts(documents: DataFrame, path: str = TOKENIZER_PATH) -> DataFrame:
     """doc_id, source, n_tokens of every document; null texts have none."""
+    documents.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _encoding(path)
+        enc = _encoding(SparkFiles.get(name))
         for b in batches:
             yield b.assign(n_tokens=[len(enc.encode_ordinary(t)) if t else 0 for t in b["text"]])[["doc_id", "source", "n_tokens"]]
 
-    return spread(documents.select("doc_id", "source", "text")).mapInPandas(count, "doc_id long, source string, n_tokens long")
+    return widen(documents.select("doc_id", "source", "text")).mapInPandas(count, "doc_id long, source string, n_tokens long")
 
 
 def _prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -55,32 +59,64 @@ def _prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
+def _running_sums(documents: DataFrame, targets: DataFrame, seed: int, path: str) -> DataFrame:
+    # counted once: a range sort reads its input twice, for its bounds and for itself
+    counted = cut(token_counts(documents, path).filter("n_tokens > 0"))
+    known = counted.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")  # targets: a fixed table
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = known.withColumn("key", F.xxhash64(F.lit(seed), "doc_id")).repartitionByRange(parts, "source", "key", "doc_id").sortWithinPartitions("source", "key", "doc_id")
+    return cut(ordered.mapInPandas(_prefix, "source string, doc_id long, n_tokens long, key long, pid int, upto long"))
+
+
+def mix_plan(have: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
+    """One row per target: source, target_share, max_repeats, have, total, budget and ``note``.
+
+    ``have``: source, have (tokens). The total is as large as the caps allow, or ``total_tokens`` where that is less. ``note`` says
+    why it is no larger: 'no documents' (a target of some share without any token: the mix is empty), 'asked for more than
+    its repeats allow', or 'bounds the total' for the source that does so; null for all others.
+    """
+    plan = targets.select("source", "target_share", "max_repeats").join(have, "source", "left").withColumn("have", F.coalesce("have", F.lit(0)))
+    room = F.when(F.col("target_share") > 0, F.floor(F.col("have") * F.col("max_repeats") / F.col("target_share")))
+    plan = plan.withColumn("room", room).withColumn("most", F.min("room").over(Window.partitionBy()))  # one row per target
+    asked = F.lit(total_tokens).cast("long")
+    plan = plan.withColumn("total", F.coalesce(F.least(asked, F.col("most")), F.lit(0))).withColumn("budget", F.col("target_share") * F.col("total"))
+    bound = F.col("room") == F.col("most")
+    note = F.when(F.col("room") == 0, "no documents").when(asked > F.col("room"), "asked for more than its repeats allow").when(bound & (asked.isNull() | (asked >= F.col("most"))), "bounds the total")
+    return plan.select("source", "target_share", "max_repeats", "have", "total", "budget", note.alias("note"))
+
+
+def _offsets(running: DataFrame) -> DataFrame:
+    totals = running.groupBy("source", "pid").agg(F.sum("n_tokens").alias("in_part"))
+    by_source = Window.partitionBy("source")  # one row per partition of the range sort
+    return totals.select("source", "pid", (F.sum("in_part").over(by_source.orderBy("pid")) - F.col("in_part")).alias("before"), F.sum("in_part").over(by_source).alias("have"))
+
+
 def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 17, path: str = TOKENIZER_PATH) -> DataFrame:
     """(doc_id, source, n_tokens, times): the chosen documents and how often each is used.
 
     ``targets``: source, target_share, max_repeats. Without ``total_tokens`` the mix is as large as the caps allow. Sources
     without a target, null ones included, are left out; a target without documents makes an empty mix, as no share of it can
-    be met. Of the document at a cut, that side is taken that is nearer to the budget. Documents without tokens are not used.
+    be met (``mix_shares`` names it). Of the document at a cut, that side is taken that is nearer to the budget. Documents
+    without tokens are not used.
     """
-    counted = token_counts(documents, path).filter("n_tokens > 0")
-    known = counted.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")  # targets: a fixed table
-    key = F.xxhash64(F.lit(seed), "doc_id")
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = known.withColumn("key", key).repartitionByRange(parts, "source", "key", "doc_id").sortWithinPartitions("source", "key", "doc_id")
-    running = cut(ordered.mapInPandas(_prefix, "source string, doc_id long, n_tokens long, key long, pid int, upto long"))
-    totals = running.groupBy("source", "pid").agg(F.sum("n_tokens").alias("in_part"))
-    by_source = Window.partitionBy("source")
-    offsets = totals.select("source", "pid", (F.sum("in_part").over(by_source.orderBy("pid")) - F.col("in_part")).alias("before"), F.sum("in_part").over(by_source).alias("have"))
-    plan = targets.select("source", "target_share", "max_repeats").join(offsets.groupBy("source").agg(F.first("have").alias("have")), "source", "left")
-    most = plan.agg(F.min(F.when(F.col("target_share") > 0, F.floor(F.coalesce("have", F.lit(0)) * F.col("max_repeats") / F.col("target_share")))).alias("most"))
-    total = F.least(F.lit(total_tokens).cast("long"), F.col("most")) if total_tokens is not None else F.col("most")
-    budgets = plan.crossJoin(most).select("source", "have", "max_repeats", (F.col("target_share") * total).alias("budget"))  # one row of totals
-    budgets = budgets.withColumn("epochs", F.floor(F.col("budget") / F.col("have") + 1e-9)).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("have"))
+    return _chosen(_running_sums(documents, targets, seed, path), targets, total_tokens)[0]
+
+
+def _chosen(running: DataFrame, targets: DataFrame, total_tokens: int | None) -> tuple[DataFrame, DataFrame]:
+    offsets = _offsets(running)
+    plan = mix_plan(offsets.groupBy("source").agg(F.first("have").alias("have")), targets, total_tokens)
+    budgets = plan.filter("have > 0").withColumn("epochs", F.floor(F.col("budget") / F.col("have") + 1e-9)).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("have"))
     small = offsets.drop("have").join(budgets, "source")
     placed = running.join(F.broadcast(small), ["source", "pid"])  # at most partitions x sources rows
     upto = F.col("upto") + F.col("before")
     extra = ((upto - F.col("n_tokens") / 2 <= F.col("rest")) & (F.col("epochs") < F.col("max_repeats"))).cast("int")
-    return placed.select("doc_id", "source", "n_tokens", (F.col("epochs") + extra).cast("int").alias("times")).filter("times > 0")
+    return placed.select("doc_id", "source", "n_tokens", (F.col("epochs") + extra).cast("int").alias("times")).filter("times > 0"), plan
+
+
+def mix_report(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 17, path: str = TOKENIZER_PATH) -> DataFrame:
+    """``mix_shares`` of the mix with the tokens at hand (``have``) and the ``note`` of ``mix_plan`` per target."""
+    chosen, plan = _chosen(_running_sums(documents, targets, seed, path), targets, total_tokens)
+    return mix_shares(chosen, targets).join(F.broadcast(plan.select("source", "have", "note")), "source")  # one row per target
 
 
 def mix_shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from sparkloom.llm.formatting import collapse_formatting, formatting_pairs
 from sparkloom.llm.golomb import SeenBefore, full_hash
 from sparkloom.llm.linkage import link_names
 from sparkloom.llm.lookalike import same_look_forms, same_look_pairs
-from sparkloom.llm.mixing import mix, mix_shares
+from sparkloom.llm.mixing import mix, mix_report
 from sparkloom.llm.mojibake import garbled_records
 from sparkloom.llm.quality import not_prose, text_statistics
 from sparkloom.llm.winnowing import leaked_passages
@@ -99,7 +99,7 @@ def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
-    return mix_shares(p8_mix(spark, sf), table(spark, sf, "mix_targets"))
+    return mix_report(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
 
 
 def p9_scores(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 
 from sparkloom.llm.golomb import SeenBefore
 from sparkloom.llm.linkage import link_names
+from sparkloom.llm.mixing import mix, mix_report
 from sparkloom.llm.quality import common_words, fit_weights
 from sparkloom.llm.queries import p1_copies
 from sparkloom.llm.winnowing import aligned_pairs, best_alignment, best_alignments, leaked_passages
@@ -104,3 +105,12 @@ def test_leaks_by_broadcast_and_by_shuffle_are_the_same(spark):
     ids = {w: n for n, w in enumerate(words)}
     whole = {(d, i): best_alignment([ids[w] for w in t.split()], [ids[w] for w in doc.split()])[0] for d, doc in docs for i, t in items}
     assert all(r[2] == whole[r[:2]] for r in both[0] if whole[r[:2]] >= 15)
+
+
+def test_mix_says_why_it_is_no_larger(spark):
+    df = spark.createDataFrame([(i, "a" if i < 30 else "b", "some words here " * 5) for i in range(40)], "doc_id long, source string, text string")
+    wanted = lambda *rows: spark.createDataFrame(rows, "source string, target_share double, max_repeats int")
+    notes = lambda *a: {r["source"]: r["note"] for r in mix_report(df, *a).collect()}
+    assert notes(wanted(("a", 0.5, 1), ("b", 0.5, 2))) == {"a": None, "b": "bounds the total"}
+    assert notes(wanted(("a", 0.5, 1), ("b", 0.5, 2)), 10**6) == {"a": "asked for more than its repeats allow", "b": "asked for more than its repeats allow"}
+    assert notes(wanted(("a", 0.5, 1), ("none", 0.5, 2))) == {"a": None, "none": "no documents"} and mix(df, wanted(("a", 0.5, 1), ("none", 0.5, 2))).count() == 0
