@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import unicodedata
 from functools import lru_cache
 
@@ -33,11 +34,14 @@ def _chains() -> list[tuple[str, ...]]:
 
 
 CHAINS = _chains()
+#: No character has a longer garbled form: at most 4 code points once decomposed, of 4 bytes, each read as one character that is
+#: 3 bytes when it is written and read once more.
+LONGEST_CHARACTER_FORM = 4 * 4 * 3
 UTF8_CHAINS = {i for i, c in enumerate(CHAINS) if c[0] == "utf-8"}
 
 
 @lru_cache(maxsize=None)
-def byte_table(encoding: str) -> list[str]:
+def byte_table(encoding: str) -> str:
     """Characters of all 256 bytes of a single-byte encoding; bytes without a character become the C1 control."""
     out = []
     for b in range(256):
@@ -45,7 +49,7 @@ def byte_table(encoding: str) -> list[str]:
             out.append(bytes([b]).decode(encoding))
         except UnicodeDecodeError:
             out.append(chr(b))
-    return out
+    return "".join(out)
 
 
 def read_bytes(raw: bytes, encoding: str) -> str | None:
@@ -61,8 +65,7 @@ def read_bytes(raw: bytes, encoding: str) -> str | None:
         return raw.decode("cp1252", "ignore")
     if encoding == "cp1252--":
         return raw.decode("cp1252", "ignore").replace("\xa0", "").replace("\xad", "")
-    t = byte_table(encoding)
-    return "".join([t[b] for b in raw])
+    return codecs.charmap_decode(raw, "strict", byte_table(encoding))[0]
 
 
 def garble(text: str, chain: tuple[str, ...]) -> str | None:
@@ -79,23 +82,29 @@ def garble(text: str, chain: tuple[str, ...]) -> str | None:
     return text
 
 
+@lru_cache(maxsize=1)
+def _by_source() -> list[tuple[str, list[tuple[int, tuple[str, ...]]]]]:
+    out: dict[str, list[tuple[int, tuple[str, ...]]]] = {}
+    for i, c in enumerate(CHAINS):
+        out.setdefault(c[0], []).append((i, c))
+    return list(out.items())
+
+
 def garbled_forms(word: str, every_chain: bool = False) -> list[tuple[str, int]]:
     """All distinct garbled forms of a word, each with the first chain (or every chain) that makes it; both of its normal forms are tried."""
     out: dict[tuple[str, int], int] = {}
     for variant in dict.fromkeys((word, unicodedata.normalize("NFC", word), unicodedata.normalize("NFD", word))):
-        raws: dict[str, bytes | None] = {}
-        for i, c in enumerate(CHAINS):
-            if c[0] not in raws:
-                try:
-                    raws[c[0]] = variant.encode(c[0])
-                except UnicodeEncodeError:
-                    raws[c[0]] = None
-            raw = raws[c[0]]
-            if raw is None:
+        for source, chains in _by_source():
+            try:
+                raw = variant.encode(source)
+            except UnicodeEncodeError:
                 continue
-            form = read_bytes(raw, c[1]) if len(c) == 2 else garble(variant, c)
-            if form and form != variant and form != word and not form.isascii():
-                out.setdefault((form, i if every_chain else -1), i)
+            for i, c in chains:
+                form = read_bytes(raw, c[1]) if len(c) == 2 else garble(variant, c)
+                if form and form != variant and form != word and not form.isascii():
+                    at = (form, i if every_chain else -1)
+                    if out.get(at, i) >= i:
+                        out[at] = i
     return [(form, chain) for (form, _), chain in out.items()]
 
 

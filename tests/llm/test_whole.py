@@ -6,9 +6,11 @@ import datetime as dt
 
 import numpy as np
 
+from sparkloom.llm.encodings import CHAINS, LONGEST_CHARACTER_FORM, garbled_forms
 from sparkloom.llm.golomb import SeenBefore
 from sparkloom.llm.linkage import link_names
 from sparkloom.llm.mixing import mix, mix_report
+from sparkloom.llm.mojibake import garbled_records
 from sparkloom.llm.quality import common_words, fit_weights
 from sparkloom.llm.queries import p1_copies
 from sparkloom.llm.winnowing import aligned_pairs, best_alignment, best_alignments, leaked_passages
@@ -114,3 +116,28 @@ def test_mix_says_why_it_is_no_larger(spark):
     assert notes(wanted(("a", 0.5, 1), ("b", 0.5, 2))) == {"a": None, "b": "bounds the total"}
     assert notes(wanted(("a", 0.5, 1), ("b", 0.5, 2)), 10**6) == {"a": "asked for more than its repeats allow", "b": "asked for more than its repeats allow"}
     assert notes(wanted(("a", 0.5, 1), ("none", 0.5, 2))) == {"a": None, "none": "no documents"} and mix(df, wanted(("a", 0.5, 1), ("none", 0.5, 2))).count() == 0
+
+
+def test_garbled_words_of_any_length_and_plain_letters(spark):
+    clean = "мира и война в городе где живут люди и река несёт воды далеко в море"
+    long = "дом" * 50
+    letters = "Вечеринка".encode("cp1251").decode("cp1252")  # no sound form of it occurs, and all of it are plain Latin letters
+    rows = [("long", long.encode().decode("cp1252", "ignore") + " x"), ("plain", f"{letters} 2010"), ("cut", "река \ufffd\ufffdдом"), ("sound", "ÄÖÜ Été Ünïcödé"), ("ascii", "plain")]
+    rows += [(f"c{i}", t) for i in range(8) for t in (clean, long, "Вода и река", "в Городе Нет чеканки", "les châteaux déjà")]
+    got = {r["id"]: r["restored"] for r in garbled_records(spark.createDataFrame(rows, "id string, text string")).collect()}
+    assert set(got) == {"long", "plain", "cut"}
+    assert got["long"] == long + " x" and got["plain"] == "Вечеринка 2010" and got["cut"] is None
+
+
+def test_no_character_form_is_longer_than_the_bound():
+    for ch in "éěệ한日Ж\u1f82𠀋ẛ̣":
+        assert all(len(form) <= LONGEST_CHARACTER_FORM for form, _ in garbled_forms(ch, every_chain=True))
+    assert max(len(c) for c in CHAINS) == 4
+
+
+def test_copies_weigh_in_the_vocabulary(spark):
+    bad = "château".encode().decode("cp1252")
+    texts = spark.createDataFrame([(1, bad, 1)], "id long, text string, copies long")
+    known = spark.createDataFrame([("le château", 7)], "text string, copies long")
+    assert [r["restored"] for r in garbled_records(texts, [known]).collect()] == ["château"]
+    assert garbled_records(texts.drop("copies"), [known.limit(0)]).count() == 0
