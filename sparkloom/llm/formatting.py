@@ -8,13 +8,14 @@ the same letters: a word that stands alone between delimiters in one of them is
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.lookalike import LETTERS, same_look
+from sparkloom.session import cut
 
 _UPPER_LETTERS = {k: v for k, v in LETTERS.items() if k.upper() == k}
 _G = r"[\W_]*"  # any formatting inside a field
@@ -42,8 +43,14 @@ EXTENSIONS = r"MKV|MP4|AVI|TS|M2TS|WMV|MOV|WEBM|MPG|ISO|ZIP|RAR|7Z|EXE|DMG|M4B|S
 _FIELD = re.compile(rf"(?<![^\W_])(?:{'|'.join(FIELDS)})(?![^\W_])|(?<=[._ \-])(?:{EXTENSIONS})$")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _HARD = re.compile(r"[\[\](){}|~;,]| / ")
-#: Words of fewer letters never become a field by standing alone: articles do so in inverted titles.
-SHORTEST_ALONE = 4
+# Articles, which stand alone in inverted titles without being a field, and short numerals, which belong to titles.
+ARTICLES = set("A AN THE LE LA LES UN UNE DES DER DIE DAS DEN DEM EIN EINE EL LOS LAS UNA UNOS UNAS IL LO GLI I O OS AS UM UMA HET DE EEN DET EN ETT".split())
+NUMERALS = set("II III IV V VI VII VIII IX X".split())
+
+
+def _may_be_field(word: str) -> bool:
+    """May a word that stands alone between delimiters be a field of its own? Not a letter, an article or a short number."""
+    return len(word) >= 2 and word not in ARTICLES and word not in NUMERALS and not (word.isdigit() and len(word) < 4)
 
 
 def _upper(name: str) -> str:
@@ -78,7 +85,7 @@ def _parse(name: str) -> tuple[list[str], list[list[str]], set[str]]:
     def close(hard: bool) -> None:
         nonlocal run, hard_before
         if run:
-            if len(run) == 1 and hard and hard_before and len(run[0]) >= SHORTEST_ALONE:
+            if len(run) == 1 and hard and hard_before and _may_be_field(run[0]):
                 alone.add(run[0])
             runs.append(run)
         run, hard_before = [], hard
@@ -100,10 +107,9 @@ def _parse(name: str) -> tuple[list[str], list[list[str]], set[str]]:
     return fields, runs, alone
 
 
-def _canonical(name: str, alone: set[str]) -> str:
+def _canonical(fields: list[str], runs: list[list[str]], alone: set[str]) -> str:
     """Sorted fields, then the remaining words in their order without gaps."""
-    fields, runs, _ = _parse(name)
-    rest = []
+    fields, rest = list(fields), []
     for run in runs:
         lo, hi = 0, len(run)
         while lo < hi and run[lo] in alone:
@@ -112,7 +118,7 @@ def _canonical(name: str, alone: set[str]) -> str:
         while hi > lo and run[hi - 1] in alone:
             fields.append(run[hi - 1])
             hi -= 1
-        rest += run[lo:hi]
+        rest.extend(run[lo:hi])
     return " ".join(sorted(fields)) + "|" + "".join(rest)
 
 
@@ -120,27 +126,33 @@ def _letters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         parsed = [_parse(n) for n in b["text"]]
         letters = ["".join(sorted("".join(f) + "".join(w for r in runs for w in r))) for f, runs, _ in parsed]
-        yield b.assign(letters=letters, alone=[sorted(a) for _, _, a in parsed])
+        yield b.assign(letters=letters, alone=[sorted(a) for _, _, a in parsed], fields=[f for f, _, _ in parsed], runs=[r for _, r, _ in parsed])
 
 
 def _canonicals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield pd.DataFrame({"text": b["text"], "copies": b["copies"], "canonical": [_canonical(t, set(a)) for t, a in zip(b["text"], b["alone"])]})
+        canonical = [_canonical(f, r, set(a)) for f, r, a in zip(b["fields"], b["runs"], b["alone"])]
+        yield b[["text", "copies", "first", "last"]].assign(canonical=canonical)
 
 
-def canonical_names(rows: DataFrame, text: str = "name") -> DataFrame:
-    """(text, copies, canonical) per distinct non-null text; ``copies`` counts its byte-identical rows.
+def canonical_names(rows: DataFrame, text: str = "name", key: str | None = None, shared_only: bool = False) -> DataFrame:
+    """(text, copies, first, last, canonical) per distinct non-null text; ``copies`` counts its byte-identical rows, ``first`` and
+    ``last`` are its smallest and greatest ``key`` (null without one).
 
-    Names without any letter or digit share the canonical text '|'. Long names are read whole.
+    Each distinct text is parsed once. ``shared_only`` leaves out texts whose letters no other row has, as they can't be the same
+    as any. Names without any letter or digit share the canonical text '|'. Long names are read whole.
     """
-    raw = rows.select(F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    distinct = raw.groupBy("text").agg(F.count("*").alias("copies"))
-    lettered = distinct.mapInPandas(_letters, "text string, copies long, letters string, alone array<string>")
-    words = lettered.select("letters", F.explode("alone").alias("word")).distinct()
-    learnt = words.groupBy("letters").agg(F.collect_list("word").alias("alone"))
-    return lettered.drop("alone").join(learnt, "letters", "left").select("text", "copies", F.coalesce("alone", F.array().cast("array<string>")).alias("alone")).mapInPandas(
-        _canonicals, "text string, copies long, canonical string"
-    )
+    raw = rows.select(F.col(text).alias("text"), (F.col(key) if key else F.lit(None).cast("string")).alias("k")).filter(F.col("text").isNotNull())
+    distinct = raw.groupBy("text").agg(F.count("*").alias("copies"), F.min("k").alias("first"), F.max("k").alias("last"))
+    kind = raw.schema["k"].dataType.simpleString()
+    parsed = distinct.mapInPandas(_letters, f"text string, copies long, first {kind}, last {kind}, letters string, alone array<string>, fields array<string>, runs array<array<string>>")
+    lettered = cut(parsed.withColumn("letters", F.md5("letters")))
+    if shared_only:
+        shared = lettered.groupBy("letters").agg(F.count("*").alias("texts"), F.max("copies").alias("most")).filter("texts > 1 or most > 1")
+        lettered = lettered.join(shared.select("letters"), "letters", "left_semi")
+    learnt = lettered.select("letters", F.explode("alone").alias("word")).distinct().groupBy("letters").agg(F.collect_list("word").alias("alone"))
+    known = lettered.drop("alone").join(learnt, "letters", "left").select("text", "copies", "first", "last", "fields", "runs", F.coalesce("alone", F.array().cast("array<string>")).alias("alone"))
+    return known.mapInPandas(_canonicals, f"text string, copies long, first {kind}, last {kind}, canonical string")
 
 
 def collapse_formatting(rows: DataFrame, text: str = "name") -> DataFrame:
@@ -149,9 +161,20 @@ def collapse_formatting(rows: DataFrame, text: str = "name") -> DataFrame:
     return names.groupBy("canonical").agg(F.min("text").alias("name"), F.sum("copies").alias("n_copies"), F.count("*").alias("n_spellings"))
 
 
-def formatting_pairs(rows: DataFrame, key: str = "info_hash", text: str = "name") -> DataFrame:
-    """(key_a, key_b): the smallest key of each group of names that differ only in formatting, with each other key of it."""
-    names = canonical_names(rows, text)
-    keyed = rows.select(F.col(key).alias("k"), F.col(text).alias("text")).join(names.select("text", "canonical"), "text")
-    first = keyed.groupBy("canonical").agg(F.min("k").alias("a"), F.max("k").alias("z")).filter("a < z").select("canonical", "a")
-    return keyed.join(first, "canonical").filter("k <> a").select(F.col("a").alias(f"{key}_a"), F.col("k").alias(f"{key}_b")).distinct()
+def formatting_pairs(rows: DataFrame, key: str = "info_hash", text: str = "name", unsound: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(key_a, key_b): the smallest key of each group of names that differ only in formatting, with each other key of it.
+
+    ``unsound`` gives, of a frame (text, copies) of distinct names that share a canonical text with another row, those to leave
+    out. A row that is repeated with its key repeats its pair.
+    """
+
+    def groups(names: DataFrame) -> DataFrame:
+        return names.groupBy("canonical").agg(F.min("first").alias("a"), F.max("last").alias("z")).filter("a < z").select("canonical", "a")
+
+    names = cut(canonical_names(rows, text, key, shared_only=True))
+    if unsound is not None:
+        names = cut(names.join(groups(names), "canonical").drop("a"))
+        names = names.join(unsound(names.select("text", "copies")).select("text"), "text", "left_anti")
+    of = names.join(groups(names), "canonical").select("text", "a")
+    keyed = rows.select(F.col(key).alias("k"), F.col(text).alias("text")).join(of, "text")  # one row a text on the right: a hot text is split
+    return keyed.filter("k <> a").select(F.col("a").alias(f"{key}_a"), F.col("k").alias(f"{key}_b"))

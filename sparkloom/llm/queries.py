@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.formatting import collapse_formatting, formatting_pairs
 from sparkloom.llm.golomb import SeenBefore, full_hash
 from sparkloom.llm.linkage import link_names
-from sparkloom.llm.lookalike import same_look_forms, same_look_pairs
+from sparkloom.llm.lookalike import same_look_classes, same_look_forms, same_look_pairs
 from sparkloom.llm.mixing import mix, mix_report
 from sparkloom.llm.mojibake import garbled_records
 from sparkloom.llm.quality import not_prose, text_statistics
@@ -31,13 +33,19 @@ def _garbled_names(spark: SparkSession, sf: str) -> DataFrame:
     return garbled_records(_names(spark, sf), [*_titles(spark, sf), paths])
 
 
-def _sound_names(spark: SparkSession, sf: str) -> DataFrame:
-    bad = cut(_garbled_names(spark, sf).select("info_hash"))
-    return table(spark, sf, "torrents").select("info_hash", "name").join(bad, "info_hash", "left_anti")
+def _unsound(spark: SparkSession, sf: str) -> Callable[[DataFrame], DataFrame]:
+    """Those of some distinct names (text, copies) that are garbled; all other names, titles and file paths add clean words."""
+
+    def garbled(names: DataFrame) -> DataFrame:
+        others = table(spark, sf, "torrents").select(F.col("name").alias("text")).join(names.select("text"), "text", "left_anti")
+        paths = table(spark, sf, "torrent_files").select(F.col("path").alias("text"))
+        return cut(garbled_records(names, [*_titles(spark, sf), paths, others]).select("text"))
+
+    return garbled
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return formatting_pairs(cut(_sound_names(spark, sf)))
+    return formatting_pairs(table(spark, sf, "torrents").select("info_hash", "name"), unsound=_unsound(spark, sf))
 
 
 def p1_copies(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,7 +53,11 @@ def p1_copies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return same_look_pairs(cut(_sound_names(spark, sf)))
+    return same_look_pairs(table(spark, sf, "torrents").select("info_hash", "name"), unsound=_unsound(spark, sf))
+
+
+def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return same_look_classes(table(spark, sf, "torrents").select("info_hash", "name"))
 
 
 def p2_forms(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,7 +128,7 @@ def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_copies, p2_found, p2_forms, p3_found, p3_links, p4_found, p4_restored, p5_found, p5_rates, p7_found, p7_passages, p8_mix, p8_shares, p9_found, p9_scores, p9_statistics)
+    for f in (p1_found, p1_copies, p2_found, p2_forms, p2_classes, p3_found, p3_links, p4_found, p4_restored, p5_found, p5_rates, p7_found, p7_passages, p8_mix, p8_shares, p9_found, p9_scores, p9_statistics)
 }
 
 _HASH = r"upper(regexp_replace(regexp_replace(regexp_replace(regexp_replace(hash_text, '[\s]+', '', 'g'), '^.*(btih:|sha1:|xt=)', '', 'i'), '^0x', '', 'i'), '[&?;#].*$', ''))"
