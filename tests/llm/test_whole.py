@@ -5,10 +5,11 @@ from __future__ import annotations
 import datetime as dt
 
 import numpy as np
+import pytest
 
 from sparkloom.llm.encodings import CHAINS, LONGEST_CHARACTER_FORM, garbled_forms
 from sparkloom.llm.golomb import SeenBefore
-from sparkloom.llm.linkage import link_names
+from sparkloom.llm.linkage import link_names, solve_with_residuals, truths
 from sparkloom.llm.mixing import mix, mix_report
 from sparkloom.llm.mojibake import garbled_records
 from sparkloom.llm.quality import common_words, fit_weights
@@ -141,3 +142,36 @@ def test_copies_weigh_in_the_vocabulary(spark):
     known = spark.createDataFrame([("le château", 7)], "text string, copies long")
     assert [r["restored"] for r in garbled_records(texts, [known]).collect()] == ["château"]
     assert garbled_records(texts.drop("copies"), [known.limit(0)]).count() == 0
+
+
+WORK = "content_type string, content_source string, content_id string, title string, original_title string, release_year int, popularity double, updated_at timestamp"
+
+
+def _works(*rows):
+    return [("movie", "tmdb", i, t, None, y, p, dt.datetime(2024, 1, 1)) for i, t, y, p in rows]
+
+
+def test_the_rules_decide_links(spark):
+    content = spark.createDataFrame(_works(("1", "Silver Harbor", 1990, 5.0), ("2", "Silver Harbor", 2015, 6.0), *[(f"t{i}", "Triple Lantern", 1950 + 20 * i, 3.0) for i in range(3)]), WORK)
+    names = [("bare", "Silver.Harbor.720p.x264"), ("three", "Triple Lantern 1080p")] + [(f"d{i}", f"Silver Harbor 1990 {i}00p GRP{i}") for i in range(3, 15)]
+    df = spark.createDataFrame(names, "info_hash string, text string")
+
+    def linked(**weights):
+        return {r["info_hash"]: r["content_id"] for r in link_names(df, content, weights).collect()}
+
+    every, no_follow, no_limit = linked(), linked(transitivity=0.0), linked(exclusivity=0.0)
+    dated = {f"d{i}": "1" for i in range(3, 15)}
+    assert every == dated | {"bare": "1"}  # it follows the names that are dated; three works of one title fit alike, so none
+    assert no_follow == dated | {"bare": "2"}  # the more popular work
+    assert no_limit == dated | {"bare": no_limit["bare"], "three": no_limit["three"]}
+    scored, _, report = truths(df, content)
+    assert report["copies"] > 0 and 0 < report["primal"] <= 2e-3 and report["dual"] <= 2e-3
+    assert scored.filter("truth < 0 or truth > 1").count() == 0
+
+
+def test_truths_of_single_candidates_are_the_minimum(spark):
+    rows = [(f"{k}{s}", f"v{s}", a, b, w, sq) for s in (0.05, 0.5, 0.9) for k, a, b, w, sq in (("s", -1.0, s, 4.0, True), ("p", 1.0, 0.0, 0.4, False))]
+    got, report = solve_with_residuals(spark.createDataFrame(rows, "pid string, v string, a double, b double, weight double, square boolean"), tolerance=1e-4)
+    assert all(abs(r["truth"] - max(0.0, float(r["v"][1:]) - 0.05)) < 2e-3 for r in got.collect()) and report["rounds"] < 400
+    with pytest.raises(RuntimeError):
+        solve_with_residuals(spark.createDataFrame(rows, "pid string, v string, a double, b double, weight double, square boolean"), rounds=4, tolerance=1e-9)
