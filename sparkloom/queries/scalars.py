@@ -10,52 +10,110 @@ from sparkloom.functions import release as R
 from sparkloom.functions.episodes import episode_numbers, episodes_of, episodes_text, has_episodes
 from sparkloom.functions.titles import date_in, normalized_title, title_and_year, title_family, token_jaccard
 from sparkloom.queries.registry import Registry
-from sparkloom.session import micros, table, widen
+from sparkloom.session import micros, pin, table, widen
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
 
 
-def _alternatives(names) -> str:
-    return R._longest_first(names).replace("\\", "\\").replace("'", "''")
+# The SQL below states the expected values on its own; it shares no table or pattern with the functions it checks.
 
+_ALIASES = {
+    "resolution": [("4320p", "4320p 8k"), ("2160p", "3840x2160 2160p uhd 4k"), ("1440p", "1440p"), ("1080p", "1920x1080 1080i 1080p fhd 2k"), ("720p", "720p hd"), ("576p", "576p"), ("540p", "540p"), ("480p", "480p sd"), ("360p", "360p")],
+    "video_source": [("WORKPRINT", "workprint"), ("TELESYNC", "telesync"), ("TELECINE", "telecine"), ("CAM", "camrip cam"), ("BluRay", "bdremux blu-ray bluray bdrip brrip"), ("TV", "iptvrip satrip hdtv tv"), ("WEBRip", "web-rip webrip web"), ("WEBDL", "web-dl web.dl webdl"), ("DVD", "dvdrip dvd5 dvd9 dvd")],
+    "modifier": [("BRDISK", "remux brdisk"), ("REGIONAL", "regional"), ("RAWHD", "rawhd"), ("SCREENER", "screener")],
+    "kind_3d": [("V3DOU", "3d_hou 3d.hou"), ("V3DSBS", "3d_hsbs 3d.hsbs"), ("V3D", "3d")],
+}
 
-def _case(token: str, names: dict[str, str]) -> str:
-    return "CASE " + token + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " END"
 
+def _alias_sql(values: list[tuple[str, str]]) -> str:
+    spelt = sorted(((w.replace("_", " "), v) for v, ws in values for w in ws.split()), key=lambda x: -len(x[0]))
+    found = f"lower(regexp_extract(name, '(?i)(?:^|[^A-Za-z0-9_]+)({'|'.join(w.replace('.', '[.]') for w, _ in spelt)})(?:$|[^A-Za-z0-9_]+)', 1))"
+    return f"CASE {found} {' '.join(f'WHEN {w!r} THEN {v!r}' for w, v in spelt)} END"
 
-def _alias_sql(names: dict[str, str]) -> str:
-    return _case(f"lower(regexp_extract(name, '(?i)(?:^|[^A-Za-z0-9_]+)({_alternatives(names)})(?:$|[^A-Za-z0-9_]+)', 1))", names)
 
-
-@query(f"SELECT info_hash, {_alias_sql(R.RESOLUTIONS)} AS resolution, {_alias_sql(R.SOURCES)} AS video_source, {_alias_sql(R.MODIFIERS)} AS modifier, {_alias_sql(R.KINDS_3D)} AS kind_3d FROM torrents")
+@query("SELECT info_hash, " + ", ".join(f"{_alias_sql(v)} AS {k}" for k, v in _ALIASES.items()) + " FROM torrents")
 def scalar_release_aliases(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("name")
     return table(spark, sf, "torrents").select("info_hash", R.video_resolution(n).alias("resolution"), R.video_source(n).alias("video_source"), R.infer_alias(n, R.MODIFIERS).alias("modifier"), R.infer_alias(n, R.KINDS_3D).alias("kind_3d"))
 
 
-@query()
-def scalar_codec_and_group(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.col("name")
-    return table(spark, sf, "torrents").select("info_hash", R.video_codec(n).alias("codec"), R.release_group(n).alias("release_group"), R.release_attributes(n).alias("a")).select("info_hash", "codec", "release_group", "a.*")
+_SEP = r"[ ._-]?"
+_DTS = rf"dts(?:{_SEP}(?:hres|hd|ma|es|x))*"
+_AUDIO_SQL = {"AAC": "aac", "DTS": _DTS, "EAC3": rf"e{_SEP}ac{_SEP}3|ddp|dd[+]", "FLAC": "flac", "OPUS": "opus", "TRUEHD": rf"true{_SEP}hd"}
+_CODEC_SQL = r"x26[45]|hevc|avc|av1|xvid|divx|mpeg[24]|h(?:[.][.]|--|__|  )?26[45]"
+
+
+def _said(words: str) -> str:
+    return rf"regexp_matches(x, '(?i)(?:^|[^\pL\pN])(?:{words})(?:$|[^\pL\pN])')"
+
 
+def _heard(words: str) -> str:
+    return _said(rf"(?:{words})(?:{_SEP}[1-9](?:[ ._][01])?(?:[ ._]?ch)?)?")
 
-_FEATURE_GROUP = r"lower(regexp_extract(regexp_replace(trim(name), '\.[A-Za-z0-9]{1,4}$', ''), '-([A-Za-z0-9]{2,16})$', 1))"
+
+def _listed(*claims: tuple[str, str]) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {test} THEN '{v}' END" for v, test in claims) + "], lambda e: e IS NOT NULL)"
+
+
+_PLUS, _TEN = _said("hdr10(?:[+]|[ ._-]?plus)"), _said("hdr10")
+_EAC3 = _heard(_AUDIO_SQL["EAC3"])
+
+
+@query(rf"""WITH t AS (SELECT info_hash, name, regexp_replace(name, '([^\pL\pN])', '\1\1', 'g') AS wide,
+  coalesce(nullif(regexp_extract(name, '(?is)[ ._(\[-]((?:(?:19|20)\d\d|s\d{{1,2}}(?:e\d{{1,4}})?|\d{{3,4}}[pi]|web{_SEP}dl|web{_SEP}rip|web|blu{_SEP}ray|bdremux|bdrip|brrip|dvdrip|dvd|hdtv|remux)(?:[^\pL\pN].*)?)$', 1), ''), name) AS x,
+  regexp_replace(regexp_replace(trim(name), '(?i)[.](?:mkv|mp4|avi|mov|m4v|wmv|ts|mpg|mpeg|vob|iso|torrent)$', ''), '(?i)(?:[ ._]+(?:proper|repack|internal|readnfo)){{1,3}}$', '') AS bare FROM torrents),
+c AS (SELECT *, list_transform(regexp_extract_all(wide, '(?i)(?:^|[^\pL\pN])({_CODEC_SQL})(?:$|[^\pL\pN])', 1), lambda k: regexp_replace(lower(k), '[^a-z0-9]', '', 'g')) AS codecs,
+  regexp_extract(bare, '-([\pL\pN][\pL\pN_]{{0,63}})$', 1) AS g, regexp_extract(bare, '(?s)^(.*)-[\pL\pN][\pL\pN_]{{0,63}}$', 1) AS b,
+  list_distinct(list_transform(regexp_extract_all(regexp_replace(x, '([^\pL\pN])', '\1\1', 'g'), '(?i)(?:^|[^\pL\pN])(?:true(?:[ ._-]{{2}})?hd|dts(?:(?:[ ._-]{{2}})?(?:hd|ma|hres|es|x))*|e?(?:[ ._-]{{2}})?ac(?:[ ._-]{{2}})?3|ddp?|aac|flac|opus)[ ._-]*([1-9](?:\.\.|__|  )[01]|[1-9]ch)(?:$|[^\pL\pN])', 1), lambda k: lower(regexp_replace(k, '[._ ][._ ]', '.')))) AS channels FROM t),
+f AS (SELECT *, list_distinct(list_transform(codecs, lambda k: CASE WHEN k IN ('x264', 'h264', 'avc') THEN 'a' WHEN k IN ('x265', 'h265', 'hevc') THEN 'b' WHEN k IN ('xvid', 'divx', 'mpeg4') THEN 'c' ELSE k END)) AS families,
+  {_listed(("DOLBY_VISION", _said("dv|dovi|dolby[ ._-]?vision")), ("HDR", f"{_said('hdr')} AND NOT {_TEN} AND NOT {_PLUS}"), ("HDR10", f"{_TEN} AND NOT {_PLUS}"), ("HDR10_PLUS", _PLUS))} AS hdr,
+  {_listed(("AAC", _heard("aac")), ("AC3", f"{_heard(f'ac{_SEP}3|dd')} AND NOT {_EAC3}"), *[(k, _heard(v)) for k, v in _AUDIO_SQL.items() if k != "AAC"])} AS audio,
+  {_listed(("ATMOS", _said("atmos")), ("DTS_X", _said("dts[ ._-]?x")))} AS features, {_listed(*[(k.upper(), _said(k)) for k in ("internal", "proper", "readnfo", "repack")])} AS revisions,
+  CASE WHEN {_said("x264")} AND NOT {_said("x265")} THEN 'x264' WHEN {_said("x265")} AND NOT {_said("x264")} THEN 'x265' END AS encoder, CASE WHEN len(channels) = 1 THEN channels[1] END AS channel FROM c),
+o AS (SELECT *, len(hdr) + len(audio) + len(features) + len(revisions) > 0 OR channel IS NOT NULL OR encoder IS NOT NULL AS any_claim FROM f)
+SELECT info_hash, CASE WHEN len(families) = 1 THEN CASE codecs[1] WHEN 'h264' THEN 'H264' WHEN 'avc' THEN 'H264' WHEN 'h265' THEN 'HEVC' WHEN 'hevc' THEN 'HEVC' WHEN 'mpeg2' THEN 'MPEG2' WHEN 'mpeg4' THEN 'MPEG4' WHEN 'xvid' THEN 'XviD' WHEN 'divx' THEN 'DivX' WHEN 'av1' THEN 'AV1' ELSE codecs[1] END END AS codec,
+CASE WHEN g <> '' AND NOT regexp_full_match(g, '(?i)v?\d+|\d{{3,4}}[pi]') AND NOT regexp_full_match(lower(g), 'dl|rip|web|webrip|webdl|bluray|bdremux|remux|proper|repack|internal|readnfo|remastered|extended|unrated|uncut|limited|complete|multi|dubbed|subbed|hdr|hdr10|dv|atmos|truehd|dts|hd|ma|aac|ac3|dd|ddp|flac|opus|avc|h264|h265|hevc|av1|x264|x265|xvid|divx')
+ AND regexp_matches(b, '(?i)(?:^|[^\pL\pN])(?:x26[45]|hevc|avc|av1|xvid|divx|mpeg[24]|h[ ._-]?26[45]|{_DTS}|true{_SEP}hd|atmos|e{_SEP}ac{_SEP}3|ac{_SEP}3|ddp|dd|aac|flac|opus|\d{{3,4}}p|web{_SEP}dl|web{_SEP}rip|web|blu{_SEP}ray|bdrip|brrip|bdremux|dvdrip|dvd|hdtv|remux|proper|repack)(?:[ ._]?\d(?:[ ._]\d)?(?:[ ._]?ch)?)?$') THEN g END AS release_group,
+CASE WHEN any_claim THEN 1 END AS version, CASE WHEN any_claim THEN sha256(name) END AS source_name_sha256, CASE WHEN any_claim THEN hdr END AS hdr_formats, CASE WHEN any_claim THEN audio END AS audio_formats,
+channel AS audio_channels, CASE WHEN any_claim THEN features END AS audio_features, CASE WHEN any_claim THEN revisions END AS revisions, encoder FROM o""")
+def scalar_codec_and_group(spark: SparkSession, sf: str) -> DataFrame:
+    t = pin(table(spark, sf, "torrents").select("info_hash", "name"), suffix=R.technical_suffix(F.col("name")))
+    n = F.col("name")
+    return t.select("info_hash", R.video_codec(n).alias("codec"), R.release_group(n).alias("release_group"), R.release_attributes(n, F.col("suffix")).alias("a")).select("info_hash", "codec", "release_group", "a.*")
 
 
-@query(f"""SELECT info_hash, CASE WHEN {_FEATURE_GROUP} NOT IN ('', {", ".join(f"'{x}'" for x in R.NO_GROUP)}) THEN {_FEATURE_GROUP} END AS grp,
-nullif(lower(regexp_extract(name, '(?i)(?:^|[^A-Za-z0-9_])(2160p|1440p|1080p|720p|480p|360p)(?:$|[^A-Za-z0-9_])', 1)), '') AS resolution FROM torrents""")
+@query(r"""WITH s AS (SELECT info_hash, list_sort(list(DISTINCT source)) AS sources FROM torrents_torrent_sources GROUP BY 1),
+t AS (SELECT t.info_hash, name, coalesce(sources, []) AS sources, regexp_replace(lower(trim(extension)), '^[.]', '') AS e,
+  lower(regexp_extract(regexp_replace(trim(name), '[.][^./]{0,4}$', ''), '-([A-Za-z0-9]{2,16})(?:[.][A-Za-z0-9]{1,4})?$', 1)) AS g,
+  lower(regexp_extract(name, '(?i)(?:^|[^A-Za-z0-9_])(web-dl|webrip|web|bluray|bdrip|brrip|hdtv|dvdrip|remux|hdrip|hdcam|cam|ts|tc)(?:$|[^A-Za-z0-9_])', 1)) AS q,
+  lower(regexp_extract(name, '(?i)(?:^|[^A-Za-z0-9_])((?:2160|1440|1080|720|480|360)p)(?:$|[^A-Za-z0-9_])', 1)) AS r,
+  replace(lower(regexp_extract(name, '(?i)(?:^|[^A-Za-z0-9_])(x26[45]|h[.]?26[45]|hevc|av1|avc|xvid|divx)(?:$|[^A-Za-z0-9_])', 1)), '.', '') AS c FROM torrents t LEFT JOIN s USING (info_hash))
+SELECT info_hash, CASE WHEN g NOT IN ('', '1080p', '720p', '2160p', '480p', 'x264', 'x265', 'h264', 'h265', 'av1', 'hevc') THEN g END AS grp, nullif(replace(q, '-', ''), '') AS quality, nullif(r, '') AS resolution,
+CASE WHEN c IN ('h265', 'hevc') THEN 'x265' WHEN c IN ('h264', 'avc') THEN 'x264' ELSE nullif(c, '') END AS codec, CASE WHEN e <> '' AND length(e) <= 8 THEN e END AS extension, array_to_string(list_filter(sources, lambda x: x <> ''), ',') AS sources FROM t""")
 def scalar_release_features(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "torrents").select("info_hash", R.release_features(F.col("name"), F.array().cast("array<string>"), F.col("extension")).alias("f"))
+    src = table(spark, sf, "torrents_torrent_sources").groupBy("info_hash").agg(F.collect_set("source").alias("sources"))
+    t = table(spark, sf, "torrents").join(src, "info_hash", "left").select("info_hash", R.release_features(F.col("name"), F.col("sources"), F.col("extension")).alias("f"))
     value = lambda k: F.get(F.filter("f", lambda x: x["type"] == k), F.lit(0))["value"]
-    return t.select("info_hash", value("release_group").alias("grp"), value("resolution").alias("resolution"))
+    named = [value(k).alias(a) for k, a in (("release_group", "grp"), ("quality_tag", "quality"), ("resolution", "resolution"), ("codec", "codec"), ("extension", "extension"))]
+    sources = F.array_join(F.transform(F.filter("f", lambda x: x["type"] == "source"), lambda x: x["value"]), ",")
+    return t.select("info_hash", *named, sources.alias("sources"))
 
 
-@query("SELECT info_hash, file_index, " + "CASE " + " ".join(f"WHEN lower(extension) IN ({', '.join(repr(e) for e in es)}) THEN '{t}'" for t, es in R.FILE_TYPES.items()) + " END AS file_type FROM torrent_files")
+@query("""SELECT info_hash, file_index, CASE WHEN lower(extension) IN ('7z', 'bz2', 'gz', 'iso', 'rar', 'tar', 'zip') THEN 'archive' WHEN lower(extension) IN ('aac', 'dsf', 'flac', 'm4a', 'm4b', 'mid', 'mp3', 'ogg', 'wav') THEN 'audio'
+WHEN lower(extension) IN ('csv', 'json', 'xls', 'xlsx', 'xml') THEN 'data' WHEN lower(extension) IN ('azw', 'azw3', 'djvu', 'doc', 'docx', 'epub', 'htm', 'html', 'md', 'mobi', 'nfo', 'otf', 'pdf', 'ppt', 'pptx', 'rtf', 'txt') THEN 'document'
+WHEN lower(extension) IN ('bmp', 'dds', 'gif', 'ico', 'jpeg', 'jpg', 'png', 'psd', 'svg', 'tif', 'tiff') THEN 'image' WHEN lower(extension) IN ('apk', 'bat', 'bin', 'deb', 'dll', 'dmg', 'exe', 'jar', 'lua', 'msi', 'package', 'pkg', 'rpm', 'sh') THEN 'software'
+WHEN lower(extension) IN ('srt', 'sub', 'vtt') THEN 'subtitles' WHEN lower(extension) IN ('avi', 'flv', 'm4v', 'mkv', 'mov', 'mp4', 'mpeg', 'mpg', 'ts', 'vob', 'wmv') THEN 'video' END AS file_type FROM torrent_files""")
 def scalar_file_type(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "torrent_files").select("info_hash", "file_index", R.file_type(F.col("extension")).alias("file_type"))
 
 
+@query("SELECT l_orderkey, l_linenumber, power(l_linenumber, 4)::BIGINT + 15 + (l_orderkey % 30) * l_linenumber + 1 AS wait FROM lineitem")
+def retry_backoff(spark: SparkSession, sf: str) -> DataFrame:
+    """Seconds until the next attempt, with a jitter below thirty taken from the key."""
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", R.backoff_seconds(F.col("l_linenumber"), F.col("l_orderkey") % 30).alias("wait"))
+
+
 @query(r"""SELECT info_hash, nullif(regexp_extract(name, '(?i)(?:^|[^A-Za-z0-9])s(\d{1,2})e\d{1,4}(?:$|[^A-Za-z0-9])', 1), '')::INTEGER AS season,
 nullif(regexp_extract(name, '(?i)(?:^|[^A-Za-z0-9])s\d{1,2}e(\d{1,4})(?:$|[^A-Za-z0-9])', 1), '')::INTEGER AS episode FROM torrents""")
 def scalar_episode_numbers(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,11 +140,6 @@ def scalar_title_year(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("info_hash", title_and_year("name").alias("p"), date_in("name").alias("air_date")).select("info_hash", "p.*", "air_date")
 
 
-@query("""SELECT info_hash, 'magnet:?xt=urn:btih:' || info_hash || '&dn=' || replace(replace(url_encode(name), '%20', '+'), '~', '~') || '&xl=' || size AS magnet FROM torrents WHERE regexp_full_match(name, '[A-Za-z0-9 ._-]*')""")
-def scalar_magnet(spark: SparkSession, sf: str) -> DataFrame:
-    return _magnets(table(spark, sf, "torrents").filter(F.col("name").rlike("^[A-Za-z0-9 ._-]*$")))
-
-
 @query("SELECT info_hash, 'magnet:?xt=urn:btih:' || info_hash || '&dn=' || replace(url_encode(name), '%20', '+') || '&xl=' || size AS magnet FROM torrents")
 def scalar_magnet_all(spark: SparkSession, sf: str) -> DataFrame:
     return _magnets(table(spark, sf, "torrents"))
@@ -133,51 +186,29 @@ def _posts(spark: SparkSession, sf: str) -> DataFrame:
     return fts.postings(widen(d))
 
 
-_ASCII = "(SELECT doc_id, unnest(w) AS lexeme, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: x <> '') AS w FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*')))".replace("\\\\", "\\")
-
-
-def _ascii_posts(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").filter(F.col("text").rlike(r"^[\x00-\x7f]*$"))
-    return fts.postings(widen(d.select(F.col("doc_id").alias("id"), F.lit(0).alias("chunk"), F.lit("D").alias("weight"), "text")))
-
+# the documents' languages use Latin letters only, which SQL can fold
+_POSTS = """p AS MATERIALIZED (SELECT doc_id, unnest(w) AS lexeme, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, list_filter(regexp_split_to_array(strip_accents(replace(lower(text), 'ß', 'ss')), '[^a-z0-9_]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL))"""
 
-@query(f"SELECT lexeme, count(DISTINCT doc_id) AS documents, count(*) AS postings, sum(pos)::BIGINT AS positions FROM {_ASCII} GROUP BY 1")
-def tokenize_postings(spark: SparkSession, sf: str) -> DataFrame:
-    return _tally(_ascii_posts(spark, sf))
 
-
-@query()
+@query(f"WITH {_POSTS} SELECT lexeme, count(DISTINCT doc_id) AS documents, count(*) AS postings, sum(pos)::BIGINT AS positions FROM p GROUP BY 1")
 def tokenize_postings_all(spark: SparkSession, sf: str) -> DataFrame:
-    """The tally over the documents of every script; DuckDB has no such tokenizer, so there is no SQL."""
-    return _tally(_posts(spark, sf))
-
-
-def _tally(posts: DataFrame) -> DataFrame:
+    posts = _posts(spark, sf)
     return posts.groupBy("lexeme").agg(F.countDistinct("id").alias("documents"), F.count("*").alias("postings"), F.sum("pos").alias("positions"))
 
 
-def _fts(name: str, text: str, condition: str, deep: bool = True) -> None:
+def _fts(name: str, text: str, sql: str) -> None:
     node = fts.parse_query(text)
-    sql = f"WITH p AS {_ASCII} SELECT doc_id FROM documents d WHERE regexp_full_match(text, '[\\x00-\\x7f]*') AND {condition}".replace("\\\\", "\\")
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return fts.match(_ascii_posts(spark, sf), node).select(F.col("id").alias("doc_id"))
-
-    def run_all(spark: SparkSession, sf: str) -> DataFrame:
         return fts.match(_posts(spark, sf), node).select(F.col("id").alias("doc_id"))
 
-    run.__name__, run_all.__name__ = name, f"{name}_all"
-    query(sql)(run)
-    query()(run_all)
-
-
-def _has(word: str) -> str:
-    return f"doc_id IN (SELECT doc_id FROM p WHERE lexeme = '{word}')"
+    run.__name__ = name
+    query(f"WITH {_POSTS} {sql}")(run)
 
 
-_fts("fts_boolean", "station (bridge | market) !quarry", f"{_has('station')} AND ({_has('bridge')} OR {_has('market')}) AND NOT {_has('quarry')}")
-_fts("fts_phrase", '"under the" . bridge', "doc_id IN (SELECT a.doc_id FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN p c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2 WHERE a.lexeme = 'under' AND b.lexeme = 'the' AND c.lexeme = 'bridge')")
-_fts("fts_prefix", "comp* lantern", f"doc_id IN (SELECT doc_id FROM p WHERE lexeme LIKE 'comp%') AND {_has('lantern')}")
+_fts("fts_boolean_all", "station (bridge | market) !quarry", "SELECT doc_id FROM p GROUP BY 1 HAVING bool_or(lexeme = 'station') AND bool_or(lexeme IN ('bridge', 'market')) AND NOT bool_or(lexeme = 'quarry')")
+_fts("fts_phrase_all", '"under the" . bridge', "SELECT DISTINCT a.doc_id FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN p c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2 WHERE a.lexeme = 'under' AND b.lexeme = 'the' AND c.lexeme = 'bridge'")
+_fts("fts_prefix_all", "comp* lantern", "SELECT doc_id FROM p GROUP BY 1 HAVING bool_or(lexeme LIKE 'comp%') AND bool_or(lexeme = 'lantern')")
 
 
 @query()

@@ -226,21 +226,9 @@ def fair_stale_selection(spark: SparkSession, sf: str) -> DataFrame:
     return stale.select("info_hash", F.lit("stale").alias("kind")).unionByName(never.select("info_hash", F.lit("never").alias("kind")))
 
 
-@query("""SELECT vec_id, rank, similarity FROM (SELECT vec_id, similarity, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rank FROM (
-SELECT e.vec_id, round(greatest(-1, least(1, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 5) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q)) WHERE rank <= 20""")
-def cosine_shortlist(spark: SparkSession, sf: str) -> DataFrame:
-    """Top rows by dot product with one query vector, clamped and rounded; ties keep the smaller id."""
-    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    q = F.broadcast(e.orderBy("vec_id").limit(1).select(F.col("v").alias("q")))  # one row
-    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    scored = e.crossJoin(q).select("vec_id", F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)), 5).alias("similarity"))
-    top = scored.orderBy(F.col("similarity").desc(), "vec_id").limit(20)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("similarity").desc(), "vec_id"))).select("vec_id", F.col("rank").cast("long").alias("rank"), "similarity")
-
-
 @query("""SELECT query_id, vec_id, rank, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM (
 SELECT q.vec_id AS query_id, e.vec_id, round(greatest(-1, least(1, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 5) AS similarity FROM embeddings e JOIN embeddings q ON q.vec_id % 20 = 0)) WHERE rank <= 20""")
 def cosine_shortlist_all(spark: SparkSession, sf: str) -> DataFrame:
-    """``cosine_shortlist`` for every row whose id is divisible by 20 as a query, against all rows; 20 rows a query."""
+    """Every row whose id is divisible by 20 as a query, against all rows: the 20 best by clamped and rounded dot product."""
     e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     return top_by_dot_product(e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), e, 20)

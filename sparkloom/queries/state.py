@@ -63,15 +63,8 @@ def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT f.type, f.value, count(*) FILTER (ok) + 1 AS a, count(*) FILTER (NOT ok) + 1 AS b FROM (SELECT l_returnflag = 'R' AS ok, unnest([{'type': 'status', 'value': l_linestatus}, {'type': 'line', 'value': l_linenumber::VARCHAR}]) AS f FROM lineitem) GROUP BY 1, 2),
-i AS (SELECT l_orderkey, l_quantity, unnest([{'type': 'status', 'value': l_linestatus}, {'type': 'line', 'value': l_linenumber::VARCHAR}]) AS f FROM lineitem WHERE l_linenumber <= 3)
+i AS (SELECT l_orderkey, l_quantity, unnest([{'type': 'status', 'value': l_linestatus}, {'type': 'line', 'value': l_linenumber::VARCHAR}]) AS f FROM lineitem)
 SELECT l_orderkey, round(exp(avg(ln(greatest(CASE WHEN a + b - 2 >= 10 THEN a / (a + b) ELSE (SELECT sum(a) / sum(a + b) FROM p) END, 0.01)))) * (1 + ln(1 + max(l_quantity))), 6) AS score FROM i LEFT JOIN p ON i.f.type = p.type AND i.f.value = p.value GROUP BY 1""")
-def geomean_rerank(spark: SparkSession, sf: str) -> DataFrame:
-    o = _outcomes(spark, sf)
-    priors = folds.beta_priors(o, "features", F.col("l_returnflag") == "R")
-    return folds.rerank(o.filter("l_linenumber <= 3"), "l_orderkey", "features", F.col("l_quantity"), priors)
-
-
-@query(ORACLE["geomean_rerank"].replace(" WHERE l_linenumber <= 3", ""))
 def geomean_rerank_all(spark: SparkSession, sf: str) -> DataFrame:
     o = _outcomes(spark, sf)
     return folds.rerank(o, "l_orderkey", "features", F.col("l_quantity"), folds.beta_priors(o, "features", F.col("l_returnflag") == "R"))
