@@ -14,7 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.session import cut
+
 DEFAULT_LIMIT = 10
+#: Estimated rows up to which a total is counted exactly.
+DEFAULT_BUDGET = 5000
 
 
 @dataclass(frozen=True)
@@ -105,6 +109,10 @@ class Facet:
         return Criterion(column=reduce((lambda a, b: a | b) if self.logic == "or" else (lambda a, b: a & b), tests), needs=self.needs)
 
 
+def _named(facet: str) -> Callable[[Column], Column]:
+    return lambda v: F.struct(F.lit(facet).alias("facet"), v.alias("value"))
+
+
 @dataclass(frozen=True)
 class SearchPlan:
     """Root frame with options; every ``with_*`` returns a new plan, ``order`` replaces an earlier order."""
@@ -179,10 +187,21 @@ class SearchPlan:
         return self.matches().agg(F.count("*").alias("total_count"))
 
     def estimate(self) -> int:
-        """The optimiser's row estimate, for a count under a budget; exact counts come from ``total``."""
-        stats = self.matches()._jdf.queryExecution().optimizedPlan().stats()
-        rows = stats.rowCount()
-        return int(str(rows.get() if rows.isDefined() else stats.sizeInBytes()))
+        """The optimiser's row estimate: its row count where statistics give one, else the bytes divided by the width of a row."""
+        plan = self.matches()._jdf.queryExecution().optimizedPlan()
+        stats = plan.stats()
+        if stats.rowCount().isDefined():
+            return int(str(stats.rowCount().get()))
+        width = 8 + sum(int(f.dataType().defaultSize()) for f in self.matches()._jdf.schema().fields())
+        return max(1, int(str(stats.sizeInBytes())) // width)
+
+    def budgeted_total(self, budget: int | None = DEFAULT_BUDGET) -> DataFrame:
+        """One row (total_count, is_estimate): exact while the estimated rows to read stay within ``budget`` or without one, else
+        the optimiser's estimate."""
+        estimate = self.estimate() if budget else 0
+        if budget and estimate > budget:
+            return self.root.sparkSession.createDataFrame([(estimate, True)], "total_count long, is_estimate boolean")
+        return self.total().withColumn("is_estimate", F.lit(False))
 
     def exists(self) -> bool:
         return not self.matches().isEmpty()
@@ -190,6 +209,10 @@ class SearchPlan:
     def items(self) -> DataFrame:
         """The page in order, with ``has_next_page`` from one row beyond it that is trimmed."""
         df = self.matches()
+        if self.limit == 0:  # nothing to order: only whether there is a first row
+            df, one = df.limit(0), df.offset(self.offset).limit(1)
+            out = df.join(one.select(F.lit(True).alias("has_next_page")), F.lit(False))
+            return out.select(*self.selection, "has_next_page") if self.selection else out
         order = [*self.order, *[F.col(t).asc_nulls_last() for t in self.tie]]
         if order:
             df = df.orderBy(*order)
@@ -204,25 +227,41 @@ class SearchPlan:
             out = numbered.withColumn("has_next_page", F.max("_n").over(Window.partitionBy()) > self.limit).filter(F.col("_n") <= self.limit).drop("_n")
         return out.select(*self.selection, "has_next_page") if self.selection else out
 
-    def facet_counts(self) -> DataFrame:
-        """(facet, value, n, selected): one aggregate per facet over rows that fit the other facets; selected values stay at zero."""
-        out: DataFrame | None = None
-        for f in self.facets:
-            others = tuple(x for x in self.facets if x is not f or f.logic == "and")
-            df = self._filtered(others, f.needs)
-            value = F.explode(F.array_distinct(f.value)) if f.many else f.value
-            counts = df.select(value.alias("value")).select(F.col("value").cast("string").alias("value")).groupBy("value").agg(F.count("*").alias("n"))
-            if f.selected:
-                spark = self.root.sparkSession
-                wanted = spark.createDataFrame([(None if v is None else str(v),) for v in f.selected], "value string")
-                counts = counts.join(wanted.withColumn("_s", F.lit(True)), counts["value"].eqNullSafe(wanted["value"]), "full").select(F.coalesce(counts["value"], wanted["value"]).alias("value"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("_s", F.lit(False)).alias("selected"))
-            else:
-                counts = counts.withColumn("selected", F.lit(False))
-            one = counts.select(F.lit(f.name).alias("facet"), "value", "n", "selected")
-            out = one if out is None else out.unionByName(one)
-        if out is None:
+    def facet_counts(self, budget: int | None = None) -> DataFrame:
+        """(facet, value, n, selected) from one scan; selected values stay at zero.
+
+        Each row carries a flag per facet; for every facet whose other facets it fits, its values are exploded and counted in
+        one aggregate. Facets that need other joins are counted apart from these. With a ``budget``, a column ``over_budget``
+        tells the values of more rows than it.
+        """
+        if not self.facets:
             raise ValueError("the plan has no facets")
-        return out
+        groups: dict[tuple[str, ...], list[Facet]] = {}
+        for f in self.facets:
+            groups.setdefault(f.needs, []).append(f)
+        parts = []
+        for needs, mine in groups.items():
+            # filters of facets that are not counted here apply as they are
+            df = self._filtered(tuple(f for f in self.facets if f not in mine), needs)
+            fits = {f.name: f.criterion().column for f in mine}
+            flags = {f"_fits{i}": F.coalesce(fits[f.name], F.lit(False)) if fits[f.name] is not None else F.lit(True) for i, f in enumerate(mine)}
+            values = {f"_value{i}": F.transform(F.array_distinct(f.value) if f.many else F.array(f.value), lambda v: v.cast("string")) for i, f in enumerate(mine)}
+            df = df.select(*[c.alias(n) for n, c in (flags | values).items()])
+            counted = []
+            for i, f in enumerate(mine):
+                others = [F.col(f"_fits{j}") for j in range(len(mine)) if j != i or f.logic == "and"]
+                own = F.transform(F.coalesce(F.col(f"_value{i}"), F.array().cast("array<string>")), _named(f.name))
+                counted.append(F.when(reduce(lambda a, b: a & b, others, F.lit(True)), own).otherwise(F.array().cast("array<struct<facet: string, value: string>>")))
+            parts.append(df.select(F.explode(F.concat(*counted)).alias("x")).select("x.*").groupBy("facet", "value").agg(F.count("*").alias("n")))
+        counts = reduce(lambda a, b: a.unionByName(b), parts)
+        wanted = [(f.name, None if v is None else str(v)) for f in self.facets for v in f.selected]
+        if wanted:
+            zero = self.root.sparkSession.createDataFrame(wanted, "facet string, value string").select("facet", "value", F.lit(0).cast("long").alias("n"), F.lit(True).alias("selected"))
+            both = counts.withColumn("selected", F.lit(False)).unionByName(zero)
+            counts = both.groupBy("facet", "value").agg(F.sum("n").alias("n"), F.bool_or("selected").alias("selected"))
+        else:
+            counts = counts.withColumn("selected", F.lit(False))
+        return counts if budget is None else counts.withColumn("over_budget", F.col("n") > budget)
 
     def grouped(self, keys: list[str], inner: list[Column], outer: list[Column] | None = None) -> DataFrame:
         """One representative per key by the inner order, then the outer order and the page."""
@@ -254,16 +293,23 @@ def found_and_missing(wanted: DataFrame, rows: DataFrame, key: str) -> DataFrame
     return exists_flag(first, rows, key, "found").select("position", key, "found")
 
 
-def recursive_closure(edges: DataFrame, source: str, target: str, rounds: int = 10) -> DataFrame:
-    """All (source, target) reachable within ``rounds`` steps, semi-naive: each round joins only the new pairs."""
-    every = edges.select(source, target).distinct()
-    fresh = every
-    for _ in range(rounds):
-        step = edges.select(F.col(source).alias(target), F.col(target).alias("_next"))
-        fresh = fresh.join(step, target).select(source, F.col("_next").alias(target)).distinct().join(every, [source, target], "left_anti")
-        if fresh.isEmpty():
-            break
+def recursive_closure(edges: DataFrame, source: str, target: str, most_rounds: int | None = None) -> DataFrame:
+    """All (source, target) pairs that are reachable in any number of steps, semi-naive: each round joins only the new pairs.
+
+    Rounds go on until one finds no new pair; each is materialised, so none is computed twice. ``most_rounds`` bounds them, and an
+    unfinished closure is then an error, never a part of one.
+    """
+    step = cut(edges.select(F.col(source).alias(target), F.col(target).alias("_next")).distinct())
+    every = fresh = cut(edges.select(source, target).distinct())
+    rounds = 0
+    while not fresh.isEmpty():
+        if most_rounds is not None and rounds >= most_rounds:
+            raise RuntimeError(f"the closure is not complete after {most_rounds} rounds")
+        fresh = cut(fresh.join(step, target).select(source, F.col("_next").alias(target)).distinct().join(every, [source, target], "left_anti"))
         every = every.unionByName(fresh)
+        rounds += 1
+        if rounds % 8 == 0:
+            every = cut(every)
     return every
 
 
@@ -278,3 +324,30 @@ Option = Callable[[SearchPlan], SearchPlan]
 def fold(plan: SearchPlan, *options: Option) -> SearchPlan:
     """Apply options from left to right."""
     return reduce(lambda p, o: o(p), options, plan)
+
+
+class ResultCache:
+    """Frames held by a key for later searches: 'cached' reads the one that is held, 'warm' makes it anew; the least recently used
+    of more than ``most`` is released."""
+
+    def __init__(self, most: int = 16):
+        self.most, self.held = most, {}
+
+    def get(self, key: str, make: Callable[[], DataFrame], mode: str = "cached") -> DataFrame:
+        if mode not in ("off", "cached", "warm"):
+            raise ValueError(f"no such cache mode {mode!r}")
+        if mode == "off":
+            return make()
+        held = self.held.pop(key, None)
+        if held is not None and mode == "warm":
+            held.unpersist()
+            held = None
+        self.held[key] = make().persist() if held is None else held
+        while len(self.held) > self.most:
+            self.held.pop(next(iter(self.held))).unpersist()
+        return self.held[key]
+
+
+def with_callbacks(page: DataFrame, *callbacks: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A result page after its post-processing steps, in order; each sees the page of the one before."""
+    return reduce(lambda df, f: f(df), callbacks, page)
