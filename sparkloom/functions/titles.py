@@ -80,7 +80,7 @@ def parse_title_year(name: str | None) -> tuple[str, int | None, str] | None:
 
 def parse_date(text: str | None) -> date | None:
     """The first three parts with equal separators that make a date: year first, then day first, then month first."""
-    for m in re.finditer(r"(?<![^\W_])(\w{1,9})([.\-/ ])(\w{1,9})\2(\w{1,4})(?![^\W_])", text or ""):
+    for m in re.finditer(r"(?<![^\W_])(?=(\w{1,9})([.\-/ ])(\w{1,9})\2(\w{1,4})(?![^\W_]))", text or ""):
         a, b, c = m.group(1), m.group(3), m.group(4)
 
         def make(y: str, mo: str, d: str) -> date | None:
@@ -99,6 +99,22 @@ def parse_date(text: str | None) -> date | None:
     return None
 
 
+_JAPANESE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
+
+
+def native_key(title: str | None) -> str:
+    """Letters and digits of a title in Japanese script, widths and kana made uniform; empty for any other title."""
+    if not title or not _JAPANESE.search(title):
+        return ""
+    flat = unicodedata.normalize("NFKC", title).lower()
+    return "".join(chr(ord(c) - 0x60) if "ァ" <= c <= "ヶ" else c for c in flat if c.isalnum() or c == "ー")
+
+
+@F.pandas_udf(T.StringType())
+def native_form(titles: pd.Series) -> pd.Series:
+    return titles.map(lambda t: native_key(t) or None)
+
+
 @F.pandas_udf(T.StringType())
 def normalized_title(titles: pd.Series) -> pd.Series:
     return titles.map(normalize_title)
@@ -132,7 +148,7 @@ def token_jaccard(a: Column, b: Column) -> Column:
 
 def slip_limit(title: Column) -> Column:
     """Edits that are allowed for a title: 15 % of its letters, rounded up, at most five."""
-    return F.least(F.lit(5), F.ceil(F.length(title) * 0.15).cast("int"))
+    return F.least(F.lit(5), ((F.length(title) * 15 + 99) / 100).cast("int"))
 
 
 def year_penalty(a: Column, b: Column) -> Column:
