@@ -481,10 +481,10 @@ class Workflow:
         return self._found(df, mask, F.col(held), content=content, content_type=F.col("hint_type"))
 
     def _attach_local_content_by_search(self, df: DataFrame, mask: str, state: dict[str, Column]) -> tuple[DataFrame, set[str]]:
-        """The best local work of the state's type, title and year: each distinct search is made once."""
+        """The best local work of the state's type, title and, but for series, year: each distinct search is made once."""
         asked, k = f"_asked{self._masks}", self._masks
         wanted = F.col(mask) & state["title"].isNotNull() & state["content_type"].isNotNull()
-        df = df.withColumn(asked, F.when(wanted, F.concat_ws("\x1f", state["content_type"], state["title"], F.coalesce(state["year"].cast("string"), F.lit("")))))
+        df = df.withColumn(asked, F.when(wanted, F.concat_ws("\x1f", state["content_type"], state["title"], F.when((state["content_type"] != "tv_show") & state["year"].isNotNull(), state["year"].cast("string")).otherwise(""))))
         df = cut(df)  # read twice below, for the searches and for their results
         part = F.split(asked, "\x1f")
         searches = df.select(asked).filter(F.col(asked).isNotNull()).distinct().select(F.col(asked).alias("l_id"), part[0].alias("kind"), part[1].alias("title"), F.expr(f"try_cast(split({asked}, '\x1f')[2] AS int)").alias("year"))
