@@ -36,6 +36,10 @@ STATISTICS = [
 ]
 
 
+#: No part of a word stands before.
+_BEFORE = r"(?<![\p{L}\p{N}\p{M}])"
+
+
 def language_of(lang: Column) -> Column:
     """Two-letter code; 'und' where the code is null or unknown."""
     code = F.lower(F.trim(lang))
@@ -70,12 +74,10 @@ def text_statistics(documents: DataFrame, common: dict[str, list[str]] | None =
     common = common_words(documents) if common is None else common
     text = F.coalesce(F.col("text"), F.lit(""))
     n_chars = F.greatest(F.length(text), F.lit(1))
-    raw_words = _words(text)
     lines = F.filter(F.split(text, r"\R"), lambda x: F.trim(x) != "")
     full = widen(documents.select("doc_id", language_of(F.col("lang")).alias("language"), text.alias("text")))
     gone = lambda pattern: F.length("text") - F.length(F.regexp_replace("text", pattern, ""))
-    base = pin(full, rw=raw_words, ls=lines, nc=n_chars, n_letters=gone(r"\p{L}+"), n_digits=gone(r"\p{N}+"), n_others=gone(r"[\p{M}\s]+"))
-    base = pin(base, ws=F.transform("rw", F.lower))
+    base = pin(full, ws=_words(F.lower("text")), ls=lines, nc=n_chars, n_letters=gone(r"\p{L}+"), n_digits=gone(r"\p{N}+"), n_others=gone(r"[\p{M}\s]+"))
     n, m = F.greatest(F.size("ws"), F.lit(1)), F.greatest(F.size("ls"), F.lit(1))
 
     def count(chars: str) -> Column:
@@ -86,10 +88,10 @@ def text_statistics(documents: DataFrame, common: dict[str, list[str]] | None =
 
     out = {
         "n_words": F.size("ws").cast("double"),
-        "mean_word_length": F.aggregate("ws", F.lit(0), lambda a, w: a + F.length(w)) / n,
+        "mean_word_length": F.length(F.array_join("ws", "")) / n,
         "symbol_ratio": (F.length("text") - F.col("n_letters") - F.col("n_digits") - F.col("n_others")) / F.col("nc"),
         "digit_ratio": F.col("n_digits") / F.col("nc"),
-        "upper_word_share": share("rw", lambda w: w.rlike(r"^\p{Lu}[\p{Lu}\p{N}]+$"), n),
+        "upper_word_share": F.regexp_count("text", F.lit(rf"{_BEFORE}\p{{Lu}}[\p{{Lu}}\p{{N}}]+(?![\p{{L}}\p{{N}}\p{{M}}])")) / n,
         "end_mark_line_share": share("ls", lambda x: x.rlike(r"[.!?…。！？][\"'”’»)\]]*\s*$"), m),
         "bullet_line_share": share("ls", lambda x: x.rlike(r"^\s*(?:[-*•·#>+]|\d+[.)]|\[[ xX]?\])\s*"), m),
         "common_word_share": reduce(lambda a, kv: F.when(F.col("language") == kv[0], F.size(F.filter("ws", lambda w: w.isin(*kv[1])))).otherwise(a), common.items(), F.lit(0)) / n,
@@ -100,7 +102,7 @@ def text_statistics(documents: DataFrame, common: dict[str, list[str]] | None =
         "distinct_word_share": F.size(F.array_distinct("ws")) / n,
         "vowel_ratio": count("aeiouyAEIOUYàâäáãåæèéêëíìîïóòôöõøúùûüœ") / F.greatest(F.col("n_letters"), F.lit(1)),
         "short_line_share": share("ls", lambda x: F.size(F.split(F.trim(x), r"\s+")) <= 4, m),
-        "title_word_share": share("rw", lambda w: w.rlike(r"^\p{Lu}\p{Ll}"), n),
+        "title_word_share": F.regexp_count("text", F.lit(rf"{_BEFORE}\p{{Lu}}\p{{Ll}}")) / n,
         "letter_variety": F.size(F.array_distinct(F.split(F.lower("text"), ""))) / F.log(F.col("nc") + 2.0),
         "gap_share": (F.length("text") - F.length(F.regexp_replace("text", r"\s{2,}", ""))) / F.col("nc"),
     }
