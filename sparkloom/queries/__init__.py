@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["attributes", "search", "analytics", "scalars", "state", "pipelines", "records"]
+MODULES = ["attributes", "search", "analytics", "scalars", "state", "pipelines", "records", "serving", "evidence"]
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -107,9 +107,9 @@ def xor_nearest_k(spark: SparkSession, sf: str) -> DataFrame:
     return folds.xor_nearest(table(spark, sf, "torrents"), "info_hash", "0123456789abcdef0123456789abcdef01234567", 20)
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderdate < TIMESTAMP '1995-01-01' ORDER BY o_orderdate, o_orderkey LIMIT 500")
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderdate < TIMESTAMP '1996-01-01' ORDER BY o_orderdate, o_orderkey LIMIT 500")
 def purge_oldest_batch(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").filter((F.col("o_orderstatus") == "F") & (F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp")))
+    o = table(spark, sf, "orders").filter((F.col("o_orderstatus") == "F") & (F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp")))
     return folds.keep_with_budget(o, [F.col("o_orderdate"), F.col("o_orderkey")], 500).select("o_orderkey")
 
 
