@@ -54,45 +54,57 @@ def bracket_marks(name: F.Column) -> F.Column:
     return F.struct(group.alias("group"), absolute.alias("absolute_episode"), name.rlike(r"(?i)dual[ ._-]?audio|multi[ ._-]?audio").alias("dual_audio"), name.rlike(r"(?i)[\[(]batch[\])]").alias("batch"))
 
 
+def _own_part(stem: str, before: str) -> str:
+    """A path's stem without the start and end that it shares with the one before it, in whole words."""
+    a = 0
+    while a < min(len(stem), len(before)) and stem[a] == before[a]:
+        a += 1
+    b = 0
+    while b < min(len(stem), len(before)) - a and stem[-1 - b] == before[-1 - b]:
+        b += 1
+    while 0 < a < len(stem) and stem[a - 1].isalnum() and stem[a].isalnum():
+        a -= 1
+    while b and stem[len(stem) - b - 1 : len(stem) - b + 1].isalnum():
+        b -= 1
+    return stem[a : len(stem) - b].strip(" ._-/")
+
+
+def _stem(path: str) -> str:
+    return re.sub(r"\.[A-Za-z0-9]{1,5}$", "", path)
+
+
 def search_strings(paths: list[str]) -> str:
     """File paths in order, each without the start and end that it shares with the one before it."""
     out, before = [], ""
     for p in paths:
-        stem = re.sub(r"\.[A-Za-z0-9]{1,5}$", "", p)
-        a = 0
-        while a < min(len(stem), len(before)) and stem[a] == before[a]:
-            a += 1
-        b = 0
-        while b < min(len(stem), len(before)) - a and stem[-1 - b] == before[-1 - b]:
-            b += 1
-        while 0 < a < len(stem) and stem[a - 1].isalnum() and stem[a].isalnum():
-            a -= 1
-        while b and stem[len(stem) - b - 1 : len(stem) - b + 1].isalnum():
-            b -= 1
-        part = stem[a : len(stem) - b].strip(" ._-/")
-        if part:
+        stem = _stem(p)
+        if part := _own_part(stem, before):
             out.append(part)
         before = stem
     return " ".join(out)
 
 
 def file_search_strings(files: DataFrame, key: str, order: str, path: str) -> DataFrame:
-    """(key, text) per group of files, streamed through partitions sorted by key and order: no group is collected by Spark."""
+    """(key, text) per group of files, streamed through partitions sorted by key and order: of a group only the path before and the
+    text so far are held."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, paths, out = None, [], []
+        now, before, parts, started, out = None, "", [], False, []
         for b in batches:
             for k, p in zip(b[key], b[path]):
-                if k != now and paths:
-                    out.append((now, search_strings(paths)))
-                    paths = []
-                now = k
-                paths.append(p or "")
+                if started and k != now:
+                    out.append((now, " ".join(parts)))
+                    before, parts = "", []
+                now, started = k, True
+                stem = _stem(p or "")
+                if part := _own_part(stem, before):
+                    parts.append(part)
+                before = stem
             if len(out) > 10_000:
                 yield pd.DataFrame(out, columns=[key, "text"])
                 out = []
-        if paths:
-            out.append((now, search_strings(paths)))
+        if started:
+            out.append((now, " ".join(parts)))
         yield pd.DataFrame(out, columns=[key, "text"])
 
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -59,3 +59,15 @@ def first_over_threshold(df: DataFrame, keys: list[str], ts: str, days: int, thr
     w = Window.partitionBy(*keys).orderBy(micros(ts)).rangeBetween(-days * 86_400_000_000, 0)
     hot = df.withColumn("in_window", F.count("*").over(w)).filter(F.col("in_window") >= threshold)
     return hot.groupBy(*keys).agg(F.min(ts).alias("first_at"))
+
+
+def fair_batch(items: DataFrame, checked: DataFrame, stale_before: Column, size: int, key: str = "info_hash") -> DataFrame:
+    """(key, never) of a bounded batch: half is kept for the oldest rechecks, so that new rows can't starve them; the rest goes to rows
+    that were never checked, then to more rechecks. ``checked``: key, at."""
+    j = items.join(checked.select(key, "at"), key, "left").filter(F.col("at").isNull() | (F.col("at") < stale_before))
+    oldest = j.filter(F.col("at").isNotNull()).orderBy("at", key).limit(size // 2)
+    others = j.join(oldest.select(key), key, "left_anti").orderBy(F.col("at").asc_nulls_first(), key).limit(size)
+    first = oldest.withColumn("_part", F.lit(0)).unionByName(others.withColumn("_part", F.lit(1)))
+    # at most one and a half batches
+    taken = first.orderBy("_part", F.col("at").asc_nulls_first(), key).limit(size)
+    return taken.select(key, F.col("at").isNull().alias("never"))

@@ -41,6 +41,18 @@ def paired_comparison(df: DataFrame, by: list[str], a_right: Column, b_right: Co
     return g.withColumn("p_value", F.round(mcnemar_p("only_a", "only_b"), 8))
 
 
+#: P(X <= k) of a Poisson variable of mean one.
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+
+
+def _poisson(hashes: np.ndarray, draws: int) -> np.ndarray:
+    """A Poisson(1) weight per hash and draw, by a 64-bit mixing function of both, all at once."""
+    x = hashes.astype(np.int64).view(np.uint64)[:, None] + np.arange(1, draws + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.searchsorted(_POISSON, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53), side="right").astype(float)
+
+
 def cluster_bootstrap(df: DataFrame, cluster: str, value: Column, draws: int = 400, seed: int = 11, level: float = 0.95) -> DataFrame:
     """(estimate, low, high): mean of ``value`` with bounds from resampled clusters.
 
@@ -52,9 +64,11 @@ def cluster_bootstrap(df: DataFrame, cluster: str, value: Column, draws: int = 4
     def resample(batches):
         total = np.zeros((2, draws + 1))
         for b in batches:
-            for s, n, h in zip(b["s"], b["n"], b["h"]):
-                w = np.concatenate([[1.0], np.random.default_rng(h & (2**63 - 1)).poisson(1.0, draws)])
-                total += np.array([[s], [n]]) * w
+            for at in range(0, len(b), 2048):
+                part = b.iloc[at : at + 2048]
+                w = np.ones((len(part), draws + 1))
+                w[:, 1:] = _poisson(part["h"].to_numpy(), draws)
+                total += np.stack([part["s"].fillna(0).to_numpy(dtype=float), part["n"].to_numpy(dtype=float)]) @ w
         yield pd.DataFrame({"draw": np.arange(draws + 1), "s": total[0], "n": total[1]})
 
     sums = spread(per.select("s", "n", "h")).mapInPandas(resample, "draw int, s double, n double").groupBy("draw").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))

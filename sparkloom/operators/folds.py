@@ -1,14 +1,10 @@
 """Event-sourced state: keep-strongest, keep-latest, runs, counters, priors and votes.
 
-Order-independent folds are aggregates that combine before the shuffle; ordered ones are windows, and only what depends on
-its own earlier result in a way no window can say runs as an ordered fold in Arrow batches.
+Order-independent folds are aggregates that combine before the shuffle; ordered ones are windows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -104,51 +100,20 @@ def leave_one_out(votes: DataFrame, ident: str, group: str, label: str, least: i
     return j.select(ident, best.alias("elected"), n.alias("n"), total.alias("total")).filter((F.col("n") >= least) & (F.col("n") * share[1] >= F.col("total") * share[0])).select(ident, "elected")
 
 
-def ordered_fold(events: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable, finish: Callable, schema: str) -> DataFrame:
-    """A fold in event order per key, in Arrow batches over partitions sorted by key and order.
-
-    Streams through sorted partitions and holds one state, so a key with most events needs no more memory than any other.
-    ``step(state, row)`` gives the next state; ``finish(key, state)`` the output tuple.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.strip().split(" ")[0] for c in schema.split(",")]
-        current, state, out = None, None, []
-        for b in batches:
-            for row in b.itertuples(index=False):
-                k = getattr(row, key)
-                if state is None or k != current:
-                    if state is not None:
-                        out.append(finish(current, state))
-                    current, state = k, start()
-                state = step(state, row)
-            if len(out) > 10_000:
-                yield pd.DataFrame(out, columns=names)
-                out = []
-        if state is not None:
-            out.append(finish(current, state))
-        yield pd.DataFrame(out, columns=names)
-
-    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return events.repartition(n, key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
-
-
 def backoff_fold(events: DataFrame, key: str, order: list[str], ok: str, reason: str, schedule: tuple[int, ...] = (60, 300, 1800, 7200)) -> DataFrame:
-    """Failures in a row of one reason, and the seconds to wait after the last: success clears, another reason starts anew."""
-
-    def step(state: tuple, row: object) -> tuple:
-        if getattr(row, ok):
-            return 0, None
-        n, last = state
-        r = getattr(row, reason)
-        return (n + 1, r) if r == last else (1, r)
+    """(key, failures, last_reason, wait_seconds): failures in a row of one reason up to the last event, and the seconds to wait after
+    it: success clears, another reason starts anew.
 
-    def finish(k: object, state: tuple) -> tuple:
-        n, last = state
-        return k, n, last, schedule[min(n, len(schedule)) - 1] if n else 0
-
-    kind = events.schema[key].dataType.simpleString()
-    return ordered_fold(events.select(key, *order, ok, reason), key, order, lambda: (0, None), step, finish, f"{key} {kind}, failures long, last_reason string, wait_seconds long")
+    Counted from the end: the run lasts until the first event, going back, that is a success or has another reason than the last.
+    """
+    back = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
+    upto = back.rowsBetween(Window.unboundedPreceding, 0)
+    success = F.coalesce(F.col(ok), F.lit(False))
+    rows = events.select(key, *order, success.alias("_ok"), F.col(reason).alias("_reason")).withColumn("_last", F.first("_reason").over(upto))
+    rows = rows.withColumn("_broken", F.max((F.col("_ok") | ~F.col("_reason").eqNullSafe(F.col("_last"))).cast("int")).over(upto))
+    per = rows.groupBy(key).agg(F.count_if(F.col("_broken") == 0).alias("failures"), F.max(F.when(F.col("_broken") == 0, F.col("_last"))).alias("last_reason"))
+    waits = F.element_at(F.array(*[F.lit(w).cast("long") for w in schedule]), F.least(F.col("failures"), F.lit(len(schedule))).cast("int"))
+    return per.select(key, "failures", "last_reason", F.when(F.col("failures") > 0, waits).otherwise(F.lit(0).cast("long")).alias("wait_seconds"))
 
 
 def decision_ladder(*rungs: tuple[Column, str], otherwise: str | None = None) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def plan_changes(rows: DataFrame, key: str, **fresh: Column) -> DataFrame:
@@ -12,9 +13,12 @@ def plan_changes(rows: DataFrame, key: str, **fresh: Column) -> DataFrame:
     return rows.select(key, F.explode(cells).alias("c")).select(key, "c.*").filter(~F.col("old").eqNullSafe(F.col("new")))
 
 
-def apply_changes(rows: DataFrame, key: str, journal: DataFrame, back: bool = False) -> DataFrame:
-    """Rows after a journal (or before it, with ``back``). A cell changes only if it still holds the expected value."""
-    fields = [r["field"] for r in journal.select("field").distinct().collect()]  # column names
+def apply_changes(rows: DataFrame, key: str, journal: DataFrame, back: bool = False, fields: list[str] | None = None) -> DataFrame:
+    """Rows after a journal (or before it, with ``back``). A cell changes only if it still holds the expected value.
+
+    ``fields`` are the columns that the journal may name; all but the key without them.
+    """
+    fields = [c for c in rows.columns if c != key] if fields is None else fields
     wide = journal.groupBy(key).agg(*[F.max(F.when(F.col("field") == f, F.struct(F.col("new" if back else "old").alias("was"), F.col("old" if back else "new").alias("to")))).alias(f"_{f}") for f in fields])
     j = rows.join(wide, key, "left")
     for f in fields:
@@ -39,6 +43,14 @@ def restore(rows: DataFrame, key: str, snapshots: DataFrame) -> DataFrame:
     return rows.unionByName(back.join(rows.select(key), key, "left_anti").select(*rows.columns))
 
 
+def restore_children(children: DataFrame, key: str, snapshots: DataFrame, name: str, back: DataFrame) -> DataFrame:
+    """``children`` with those of the snapshots' column ``name``, for the keys of ``back`` that have no children now."""
+    own = T.StructType([f for f in children.schema.fields if f.name != key])
+    packed = snapshots.join(back.select(key), key, "left_semi").join(children.select(key).distinct(), key, "left_anti")
+    kids = packed.select(key, F.explode(F.from_json(name, T.ArrayType(own))).alias("c")).select(key, "c.*")
+    return children.unionByName(kids.select(*children.columns))
+
+
 def union_of_removed(live: DataFrame, snapshots: DataFrame, key: str) -> DataFrame:
     """Distinct keys that are quarantined or removed, with where they are."""
     return live.select(key, F.lit("live").alias("place")).unionByName(snapshots.select(key, F.lit("snapshot").alias("place"))).distinct()

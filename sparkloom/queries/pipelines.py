@@ -13,7 +13,7 @@ from sparkloom.plans.rules import Scope, Workflow
 from sparkloom.queries.registry import Registry
 from sparkloom.sources.readers import alias_table, feed_item, import_items, read_hash_feed, read_ndjson, work_path, write_ndjson
 from sparkloom.session import table
-from sparkloom.streaming.pipelines import EVENTS, failure_runs, first_seen, newest_per_window, run_to_table, stream_table, tumbling_counts
+from sparkloom.streaming.pipelines import EVENTS, as_files, failure_runs, first_seen, newest_per_window, run_to_table, stream_files, tumbling_counts
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
@@ -51,21 +51,25 @@ def rule_workflow(spark: SparkSession, sf: str) -> DataFrame:
     return Workflow(WORKFLOW, scope).apply(t.select("info_hash", "name", "size", "e", "s")).select("info_hash", "content_type", F.array_join("tags", ",").alias("tags"), "deleted")
 
 
-@query("SELECT count(*) AS items, count(DISTINCT info_hash) AS torrents, sum(coalesce(seeders, 0))::BIGINT AS seeders, 'run-1' AS import_id, 0 AS broken FROM torrents_torrent_sources JOIN torrents USING (info_hash)")
+@query("SELECT info_hash, name, size, private, source, seeders, leechers, 'run-1' AS import_id FROM torrents_torrent_sources JOIN torrents USING (info_hash)")
 def ndjson_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """Write an import file and read it back with an import id."""
+    """Write an import file and read its items back with an import id; a malformed line would be a row of nulls."""
     path = work_path(spark, f"ndjson-{uuid.uuid4().hex}")
     rows = table(spark, sf, "torrents_torrent_sources").join(table(spark, sf, "torrents").select("info_hash", "name", "size", "private"), "info_hash")
     write_ndjson(rows.select(F.col("info_hash").alias("infoHash"), "name", "size", "private", "source", "seeders", "leechers"), path)
-    back = read_ndjson(spark, path, "run-1")
-    return back.groupBy("import_id").agg(F.count("*").alias("items"), F.countDistinct("infoHash").alias("torrents"), F.sum(F.coalesce("seeders", F.lit(0))).alias("seeders"), F.count_if(F.col("_corrupt").isNotNull()).cast("int").alias("broken"))
+    return read_ndjson(spark, path, "run-1").select(F.col("infoHash").alias("info_hash"), "name", "size", "private", "source", "seeders", "leechers", "import_id")
 
 
-@query("SELECT count(*) AS torrents, count(DISTINCT info_hash) AS hashes, sum(size)::BIGINT AS bytes FROM (SELECT info_hash, size FROM torrents UNION ALL SELECT h, 7 FROM (SELECT DISTINCT info_hash AS h FROM known_hashes) WHERE h NOT IN (SELECT info_hash FROM torrents))")
+@query("""SELECT 'torrent' AS kind, info_hash, name AS value, size AS number FROM torrents UNION ALL SELECT 'torrent', info_hash, 'imported', 7 FROM known_hashes WHERE info_hash NOT IN (SELECT info_hash FROM torrents)
+UNION ALL SELECT 'link', info_hash, source, seeders FROM (SELECT *, row_number() OVER (PARTITION BY source, info_hash ORDER BY updated_at DESC, seeders DESC NULLS LAST, leechers DESC NULLS LAST) AS r FROM torrents_torrent_sources) WHERE r = 1 AND NOT (source = 'import' AND info_hash IN (SELECT info_hash FROM known_hashes))
+UNION ALL SELECT 'link', info_hash, 'import', 1 FROM known_hashes""")
 def import_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """All torrents and source links after an import: known torrents stay, links of the same source are overwritten."""
     items = table(spark, sf, "known_hashes").select(F.col("info_hash").alias("infoHash"), F.lit("imported").alias("name"), F.lit(7).cast("long").alias("size"), F.lit("import").alias("source"), F.lit(1).alias("seeders"), F.lit(0).alias("leechers"))
-    torrents, _ = import_items(table(spark, sf, "torrents"), table(spark, sf, "torrents_torrent_sources"), items)
-    return torrents.agg(F.count("*").alias("torrents"), F.countDistinct("info_hash").alias("hashes"), F.sum("size").alias("bytes"))
+    links = table(spark, sf, "torrents_torrent_sources").groupBy("source", "info_hash").agg(F.max_by(F.struct("seeders", "leechers"), F.struct("updated_at", "seeders", "leechers")).alias("x"), F.max("updated_at").alias("updated_at")).select("source", "info_hash", "x.*", "updated_at")
+    torrents, after = import_items(table(spark, sf, "torrents"), links, items)
+    rows = torrents.select(F.lit("torrent").alias("kind"), "info_hash", F.col("name").alias("value"), F.col("size").alias("number"))
+    return rows.unionByName(after.select(F.lit("link").alias("kind"), "info_hash", F.col("source").alias("value"), F.col("seeders").cast("long").alias("number")))
 
 
 @query("SELECT t.info_hash FROM torrents t JOIN (SELECT DISTINCT sha256(unhex(info_hash)) AS h FROM documents WHERE info_hash IS NOT NULL) b ON sha256(unhex(t.info_hash)) = b.h")
@@ -84,23 +88,29 @@ def alias_dump(spark: SparkSession, sf: str) -> DataFrame:
     return alias_table(a.select(ref.alias("work_id"), F.col("attr_value").alias("title")), a.select(ref.alias("work_id"), ref.alias("ref")).distinct(), fold_title)
 
 
-@query()
+@query("""SELECT info_hash, '<item><title>' || replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '"', '&quot;') || '</title><enclosure url="magnet:?xt=urn:btih:' || info_hash || '&amp;dn=' || replace(url_encode(name), '%20', '+') || '&amp;xl=' || size || '" length="' || size || '"/><pubDate>'
+|| strftime(created_at, '%Y-%m-%d %H:%M:%S') || '</pubDate></item>' AS item FROM torrents""")
 def feed_items(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "torrents")
     link = magnet_uri(F.col("info_hash"), F.col("name"), F.col("size"))
     return t.select("info_hash", feed_item(F.col("name"), link, F.col("size"), F.col("created_at")).alias("item"))
 
 
+def _arrivals(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as four files that arrive one after the other, a micro-batch each."""
+    return stream_files(spark, as_files(table(spark, sf, "events"), "ts"), EVENTS)
+
+
 @query("SELECT time_bucket(INTERVAL 60 MINUTES, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling_counts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = run_to_table(tumbling_counts(stream_table(spark, sf, "events", EVENTS)), "update")
+    rows = run_to_table(tumbling_counts(_arrivals(spark, sf)), "update")
     out = newest_per_window(rows)
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1, 2")
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    rows = run_to_table(first_seen(stream_table(spark, sf, "events", EVENTS), ["user_id", "event_type"], "400 days"), "append")
+    rows = run_to_table(first_seen(_arrivals(spark, sf), ["user_id", "event_type"], "400 days"), "append")
     return rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
@@ -108,5 +118,5 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
 e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events)
 SELECT user_id, count(*) FILTER (event_type = 'error' AND r > last) AS failures, any_value(events) AS events FROM e JOIN l USING (user_id) GROUP BY 1""")
 def stream_failure_runs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = run_to_table(failure_runs(stream_table(spark, sf, "events", EVENTS)), "update")
+    rows = run_to_table(failure_runs(_arrivals(spark, sf)), "update")
     return rows.groupBy("user_id").agg(F.max_by(F.struct("failures", "events"), "batch_id").alias("x")).select("user_id", "x.*")

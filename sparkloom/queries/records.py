@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.naming import bracket_marks, file_search_strings, wanted_keys
 from sparkloom.operators.evaluation import cluster_bootstrap, paired_comparison, scores, weighted_rules
-from sparkloom.operators.snapshots import apply_changes, plan_changes, remove_with_snapshot, restore, union_of_removed
+from sparkloom.operators.snapshots import apply_changes, plan_changes, remove_with_snapshot, restore, restore_children, union_of_removed
 from sparkloom.queries.registry import Registry
 from sparkloom.session import table, widen
 
@@ -25,7 +25,9 @@ def scores_by_language(spark: SparkSession, sf: str) -> DataFrame:
     return scores(_judged(spark, sf), ["lang"], F.col("text_kind") == "prose", F.col("n_chars") >= 500)
 
 
-@query()
+@query(r"""WITH j AS (SELECT lang, (n_chars >= 400) = (text_kind = 'prose') AS a, regexp_matches(text, '[.!?]\s*$') = (text_kind = 'prose') AS b FROM labels JOIN documents USING (doc_id)),
+g AS (SELECT lang, count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (NOT a AND b) AS only_b FROM j GROUP BY 1)
+SELECT lang, only_a, only_b, round(least(1, coalesce(2 * list_sum(list_transform(range(0, least(only_a, only_b) + 1), lambda i: exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2)))), 1)), 8) AS p_value FROM g""".replace("\\\\", "\\"))
 def paired_systems(spark: SparkSession, sf: str) -> DataFrame:
     truth = F.col("text_kind") == "prose"
     return paired_comparison(_judged(spark, sf), ["lang"], (F.col("n_chars") >= 400) == truth, F.col("text").rlike(r"[.!?]\s*$") == truth)
@@ -47,21 +49,29 @@ def planned_repairs(spark: SparkSession, sf: str) -> DataFrame:
     return plan_changes(table(spark, sf, "torrents"), "info_hash", extension=F.nullif(F.regexp_extract(F.lower("name"), r"[^/.]\.([a-z0-9]+)$", 1), F.lit("")))
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (false) AS changed_after_rollback FROM torrents")
+@query("""SELECT 'applied' AS step, info_hash, coalesce(files_count, 1) AS files_count, upper(extension) AS extension FROM torrents UNION ALL SELECT 'back', info_hash, CASE WHEN private THEN 77 ELSE files_count END, extension FROM torrents""")
 def repair_and_roll_back(spark: SparkSession, sf: str) -> DataFrame:
-    """Apply a journal and take it back: no row may differ from where it began."""
-    t = table(spark, sf, "torrents").select("info_hash", "files_count", "extension")
+    """Rows after a journal, and after it is taken back: cells that changed in between keep their new value."""
+    t = table(spark, sf, "torrents").select("info_hash", "files_count", "extension", "private")
     journal = plan_changes(t, "info_hash", files_count=F.coalesce("files_count", F.lit(1)), extension=F.upper("extension"))
-    back = apply_changes(apply_changes(t, "info_hash", journal), "info_hash", journal, back=True).select("info_hash", F.struct("files_count", "extension").alias("b"))
-    j = t.select("info_hash", F.struct("files_count", "extension").alias("a")).join(back, "info_hash")
-    return j.agg(F.count("*").alias("n"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("changed_after_rollback"))
+    fields = ["files_count", "extension"]
+    applied = apply_changes(t, "info_hash", journal, fields=fields)
+    moved = applied.withColumn("files_count", F.when(F.col("private"), 77).otherwise(F.col("files_count")).cast("int"))
+    back = apply_changes(moved, "info_hash", journal, back=True, fields=fields)
+    step = lambda df, name: df.select(F.lit(name).alias("step"), "info_hash", *fields)
+    return step(applied, "applied").unionByName(step(back, "back"))
 
 
-@query("SELECT count(*) AS n, sum(size)::BIGINT AS bytes FROM torrents")
+@query("""SELECT 'stay' AS step, info_hash, size, NULL::BIGINT AS files FROM torrents WHERE files_status <> 'multi' UNION ALL SELECT 'restored', t.info_hash, size, n FROM torrents t LEFT JOIN (SELECT info_hash, count(*) AS n FROM torrent_files GROUP BY 1) USING (info_hash)""")
 def remove_and_restore(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "torrents")
-    stay, snap = remove_with_snapshot(t, "info_hash", t.filter("private"), "private", {"files": table(spark, sf, "torrent_files")})
-    return restore(stay, "info_hash", snap).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    """What stays after a removal with its files, and everything once it is restored."""
+    t, files = table(spark, sf, "torrents"), table(spark, sf, "torrent_files")
+    stay, snap = remove_with_snapshot(t, "info_hash", t.filter("files_status = 'multi'"), "gone", {"files": files})
+    left = files.join(t.filter("files_status = 'multi'").select("info_hash"), "info_hash", "left_anti")
+    back = restore(stay, "info_hash", snap)
+    counts = restore_children(left, "info_hash", snap, "files", back).groupBy("info_hash").agg(F.count("*").alias("files"))
+    whole = back.join(counts, "info_hash", "left").select(F.lit("restored").alias("step"), "info_hash", "size", "files")
+    return stay.select(F.lit("stay").alias("step"), "info_hash", "size", F.lit(None).cast("long").alias("files")).unionByName(whole)
 
 
 @query("SELECT place, count(*) AS n FROM (SELECT DISTINCT info_hash, 'live' AS place FROM documents WHERE info_hash IS NOT NULL UNION SELECT info_hash, 'snapshot' FROM torrents WHERE private) GROUP BY 1")
@@ -76,9 +86,12 @@ def wanted_item_keys(spark: SparkSession, sf: str) -> DataFrame:
     return t.filter(F.col("key").isNotNull()).groupBy("key").agg(F.count("*").alias("n"), F.min("info_hash").alias("first"))
 
 
-@query(r"""SELECT info_hash, nullif(regexp_extract(name, '^\s*\[([A-Za-z][A-Za-z0-9 _-]{1,30})\]', 1), '') AS grp, regexp_matches(name, '(?i)dual[ ._-]?audio|multi[ ._-]?audio') AS dual_audio FROM torrents""")
+@query(r"""WITH t AS (SELECT *, nullif(regexp_extract(name, ' - (\d{1,4})(?:v\d)?(?: |\[|\(|[.]|$)', 1), '')::INTEGER AS n FROM torrents)
+SELECT info_hash, nullif(regexp_extract(name, '^\s*\[([A-Za-z][A-Za-z0-9 _-]{1,30})\]', 1), '') AS grp, CASE WHEN n NOT BETWEEN 1900 AND 2099 AND n NOT IN (480, 576, 720, 1080, 2160) THEN n END AS absolute_episode,
+regexp_matches(name, '(?i)dual[ ._-]?audio|multi[ ._-]?audio') AS dual_audio, regexp_matches(name, '(?i)[\[(]batch[\])]') AS batch FROM t""")
 def fansub_marks(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "torrents").select("info_hash", bracket_marks(F.col("name")).alias("m")).select("info_hash", F.col("m.group").alias("grp"), "m.dual_audio")
+    m = table(spark, sf, "torrents").select("info_hash", bracket_marks(F.col("name")).alias("m"))
+    return m.select("info_hash", F.col("m.group").alias("grp"), "m.absolute_episode", "m.dual_audio", "m.batch")
 
 
 @query()

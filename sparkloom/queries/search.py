@@ -22,6 +22,7 @@ from sparkloom.plans.search import (
     one_of,
     where,
 )
+from sparkloom.operators.analytics import fair_batch
 from sparkloom.operators.matching import top_by_dot_product
 from sparkloom.queries.registry import Registry
 from sparkloom.session import table
@@ -215,15 +216,15 @@ def order_by_seeders(spark: SparkSession, sf: str) -> DataFrame:
     return t.orderBy(F.col("seeders").desc(), F.col("info_hash").desc()).limit(40)
 
 
-@query("""WITH never AS (SELECT info_hash FROM torrents WHERE info_hash NOT IN (SELECT info_hash FROM torrents_torrent_sources WHERE seeders IS NOT NULL) ORDER BY created_at, info_hash LIMIT 50),
-stale AS (SELECT info_hash, max(updated_at) AS seen FROM torrents_torrent_sources WHERE seeders IS NOT NULL GROUP BY 1 ORDER BY 2, 1 LIMIT 50)
-SELECT info_hash, 'stale' AS kind FROM stale UNION ALL SELECT info_hash, 'never' FROM never""")
+_STALE = "2025-09-01"
+
+
+@query(f"""WITH c AS (SELECT info_hash, max(updated_at) AS seen FROM torrents_torrent_sources WHERE seeders IS NOT NULL GROUP BY 1), re AS (SELECT info_hash, seen FROM c JOIN torrents USING (info_hash) WHERE seen < TIMESTAMP '{_STALE}' ORDER BY seen, info_hash LIMIT 400),
+rest AS (SELECT t.info_hash, seen FROM torrents t LEFT JOIN c USING (info_hash) WHERE (seen IS NULL OR seen < TIMESTAMP '{_STALE}') AND t.info_hash NOT IN (SELECT info_hash FROM re) ORDER BY seen ASC NULLS FIRST, t.info_hash LIMIT (SELECT greatest(0, 800 - count(*)) FROM re))
+SELECT info_hash, seen IS NULL AS never FROM (SELECT * FROM re UNION ALL SELECT * FROM rest) ORDER BY seen ASC NULLS FIRST, info_hash LIMIT 800""")
 def fair_stale_selection(spark: SparkSession, sf: str) -> DataFrame:
-    """Half a batch for the oldest rechecks, the rest for rows never checked."""
-    checked = table(spark, sf, "torrents_torrent_sources").filter("seeders is not null")
-    stale = checked.groupBy("info_hash").agg(F.max("updated_at").alias("at")).orderBy("at", "info_hash").limit(50)
-    never = table(spark, sf, "torrents").join(checked, "info_hash", "left_anti").orderBy("created_at", "info_hash").limit(50)
-    return stale.select("info_hash", F.lit("stale").alias("kind")).unionByName(never.select("info_hash", F.lit("never").alias("kind")))
+    """A batch of 800: half for the oldest rechecks, what is left for rows never checked first and then for more rechecks."""
+    return fair_batch(table(spark, sf, "torrents").select("info_hash"), table(spark, sf, "torrents_torrent_sources").filter("seeders is not null").groupBy("info_hash").agg(F.max("updated_at").alias("at")), F.lit(_STALE).cast("timestamp_ntz"), 800)
 
 
 @query("""SELECT query_id, vec_id, rank, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM (

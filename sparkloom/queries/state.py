@@ -9,11 +9,13 @@ from sparkloom.functions.release import release_features
 from sparkloom.operators import folds
 from sparkloom.operators.matching import best_matches
 from sparkloom.queries.registry import Registry
+from sparkloom.queries.scalars import ORACLE as _SCALARS
 from sparkloom.session import micros, table
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
 
+_FEATURES = _SCALARS["scalar_release_features"]
 _STRENGTH = "CASE event_type WHEN 'purchase' THEN 100 WHEN 'signup' THEN 80 WHEN 'click' THEN 60 WHEN 'view' THEN 40 ELSE 30 END"
 _SUSPECT = "event_type = 'error'"
 _ALIVE = "event_type IN ('click','purchase')"
@@ -96,13 +98,15 @@ def dedup_first_seen(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "hash_sightings").filter("hash_text is not null").groupBy("hash_text", "source").agg(F.min("sighting_id").alias("sighting_id"))
 
 
-@query()
+@query("""WITH e AS (SELECT *, first_value(event_type) OVER w AS last, row_number() OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)),
+b AS (SELECT user_id, any_value(last) AS last, coalesce(min(r) FILTER (event_type = 'purchase' OR event_type <> last), max(r) + 1) - 1 AS n FROM e GROUP BY 1)
+SELECT user_id, CASE WHEN last = 'purchase' THEN 0 ELSE n END AS failures, CASE WHEN last <> 'purchase' THEN last END AS last_reason, CASE WHEN last = 'purchase' THEN 0 WHEN n = 1 THEN 60 WHEN n = 2 THEN 300 WHEN n = 3 THEN 1800 ELSE 7200 END AS wait_seconds FROM b""")
 def peer_backoff_fold(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select("user_id", "ts", "event_id", (F.col("event_type") == "purchase").alias("ok"), F.col("event_type").alias("reason"))
     return folds.backoff_fold(e, "user_id", ["ts", "event_id"], "ok", "reason")
 
 
-@query("SELECT info_hash FROM torrents ORDER BY xor(('0x' || substr(info_hash, 1, 15))::BIGINT, ('0x' || '0123456789abcde')::BIGINT), info_hash LIMIT 20")
+@query("SELECT info_hash FROM torrents ORDER BY xor(('0x' || substr(info_hash, 1, 15))::BIGINT, ('0x0123456789abcde')::BIGINT), xor(('0x' || substr(info_hash, 16, 15))::BIGINT, ('0xf0123456789abcd')::BIGINT), xor(('0x' || substr(info_hash, 31, 10))::BIGINT, ('0xef01234567')::BIGINT) LIMIT 20")
 def xor_nearest_k(spark: SparkSession, sf: str) -> DataFrame:
     return folds.xor_nearest(table(spark, sf, "torrents"), "info_hash", "0123456789abcdef0123456789abcdef01234567", 20)
 
@@ -145,7 +149,9 @@ def fuzzy_best_match(spark: SparkSession, sf: str) -> DataFrame:
     return best_matches(left, right)
 
 
-@query()
+@query(f"""WITH f AS ({_FEATURES}), s AS (SELECT info_hash, unnest(list_distinct(list(source))) AS source FROM torrents_torrent_sources GROUP BY 1),
+u AS (SELECT 'release_group' AS type, grp AS value FROM f UNION ALL SELECT 'quality_tag', quality FROM f UNION ALL SELECT 'resolution', resolution FROM f UNION ALL SELECT 'codec', codec FROM f UNION ALL SELECT 'extension', extension FROM f UNION ALL SELECT 'source', source FROM s JOIN torrents USING (info_hash))
+SELECT type, value, count(*) AS n FROM u WHERE value IS NOT NULL GROUP BY 1, 2""")
 def release_feature_counts(spark: SparkSession, sf: str) -> DataFrame:
     """How often each feature of names, sources and extensions occurs."""
     src = table(spark, sf, "torrents_torrent_sources").groupBy("info_hash").agg(F.collect_set("source").alias("sources"))

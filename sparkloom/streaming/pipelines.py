@@ -19,6 +19,22 @@ def stream_table(spark: SparkSession, root: str, name: str, schema: str, files_p
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", f"{name}.parquet").parquet(root)
 
 
+def as_files(df: DataFrame, order: str, files: int = 4) -> str:
+    """Write a table as files that follow each other by ``order``, as a source would deliver them; gives their folder."""
+    base = work_path(df.sparkSession, f"arrivals-{uuid.uuid4().hex}")
+    cuts = [None, *df.select(F.col(order).cast("timestamp").cast("double").alias("t")).approxQuantile("t", [i / files for i in range(1, files)], 0.01), None]
+    t = F.col(order).cast("timestamp").cast("double")
+    for low, high in zip(cuts, cuts[1:]):
+        part = df.filter((F.lit(True) if low is None else t > low) & (F.lit(True) if high is None else t <= high))
+        part.coalesce(1).write.mode("append").parquet(base)
+    return base
+
+
+def stream_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A folder of files as a stream, one file a micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what is there now; every micro-batch is written with its id, so a repeated batch replaces itself."""
     spark = stream.sparkSession
@@ -53,10 +69,13 @@ def failure_runs(events: DataFrame) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         failures, seen = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for kind in rows["event_type"]:
-            failures = failures + 1 if kind == "error" else 0 if kind == "purchase" else failures
-            seen += 1
+        success, open_ = None, []  # the latest success of the batch, and the failures after it: no more of a hot key is held
+        for b in batches:
+            seen += len(b)
+            at = list(zip(b["ts"], b["event_id"]))
+            success = max([x for x, kind in zip(at, b["event_type"]) if kind == "purchase"] + ([success] if success else []), default=None)
+            open_ = [x for x in open_ + [x for x, kind in zip(at, b["event_type"]) if kind == "error"] if success is None or x > success]
+        failures = len(open_) + (failures if success is None else 0)
         state.update((failures, seen))
         yield pd.DataFrame({"user_id": [key[0]], "failures": [failures], "events": [seen]})
 
