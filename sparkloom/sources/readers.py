@@ -46,9 +46,15 @@ def import_items(torrents: DataFrame, links: DataFrame, items: DataFrame) -> tup
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder of the session's checkpoints, for frames that have to be written and read again."""
+    """A path in the shared folder of the session's checkpoints, for frames that have to be written and read again; it goes with the
+    application."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}"
+    made = f"{spark.sparkContext.getCheckpointDir()}/{name}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(made)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return made
 
 
 def feed_item(title, link, size, published) -> F.Column:
