@@ -242,3 +242,31 @@ def cover_density(matches: DataFrame) -> DataFrame:
     pairs = F.zip_with(F.slice("hits", 1, F.size("hits") - 1), F.slice("hits", 2, F.size("hits") - 1), lambda a, b: F.lit(2.0) / (1 / w(a["weight"]) + 1 / w(b["weight"])) / F.greatest(F.lit(1), b["pos"] - a["pos"]))
     rank = F.when(F.size("hits") > 1, F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)).when(F.size("hits") == 1, w(F.get("hits", F.lit(0))["weight"])).otherwise(0.0)
     return matches.select("id", F.round(rank, 6).alias("rank"))
+
+
+def print_vectors(posts: DataFrame) -> DataFrame:
+    """(id, vector): the postings of each id as text: quoted lexemes in order, each with its positions and weights (D is left out)."""
+    place = F.concat(F.col("pos").cast("string"), F.when(F.col("weight") == "D", "").otherwise(F.col("weight")))
+    per = posts.groupBy("id", "lexeme").agg(F.array_sort(F.collect_set(F.struct("pos", place.alias("p")))).alias("ps"))
+    quoted = F.concat(F.lit("'"), F.replace(F.replace("lexeme", F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("''")), F.lit("':"))
+    words = per.select("id", F.struct("lexeme", F.concat(quoted, F.array_join(F.transform("ps", lambda x: x["p"]), ",")).alias("w")).alias("x"))
+    return words.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["w"]), " ").alias("vector"))
+
+
+def parse_vectors(vectors: DataFrame) -> DataFrame:
+    """(id, lexeme, pos, weight) of printed vectors; the inverse of ``print_vectors``. Lexemes without quotes are read as well."""
+    entry = r"(?:'((?:[^']|'')*)'|([^\s':]+)):((?:\d+[A-D]?,?)+)"
+    all_of = lambda group: F.regexp_extract_all("vector", F.lit(entry), F.lit(group))
+    parts = F.arrays_zip(all_of(1).alias("q"), all_of(2).alias("b"), all_of(3).alias("p"))
+    rows = vectors.select("id", F.explode(parts).alias("x")).select("id", F.when(F.col("x.q") != "", F.replace(F.replace("x.q", F.lit("''"), F.lit("'")), F.lit("\\\\"), F.lit("\\"))).otherwise(F.col("x.b")).alias("lexeme"), F.explode(F.filter(F.split("x.p", ","), lambda p: p != "")).alias("p"))
+    return rows.select("id", "lexeme", F.regexp_extract("p", r"\d+", 0).cast("int").alias("pos"), F.coalesce(F.nullif(F.regexp_extract("p", "[A-D]", 0), F.lit("")), F.lit("D")).alias("weight"))
+
+
+def torrent_chunks(torrents: DataFrame, content: DataFrame | None = None, key: str = "info_hash") -> DataFrame:
+    """(id, chunk, weight, text) of torrents (key, name, video: array<string>, files: string): hash and name weigh A, their video
+    attributes C, their file strings D; ``content`` (key, title, original_title, year, collections, attributes) adds the work's texts."""
+    own = [("A", F.col(key)), ("A", F.col("name")), ("C", F.array_join("video", " ")), ("D", F.col("files"))]
+    works = [("A", F.col("title")), ("A", F.col("original_title")), ("B", F.col("year").cast("string")), ("D", F.array_join("collections", " ")), ("D", F.array_join("attributes", " "))]
+    rows = torrents if content is None else torrents.join(content, key, "left")
+    chunks = F.array(*[F.struct(F.lit(i).alias("chunk"), F.lit(w).alias("weight"), t.alias("text")) for i, (w, t) in enumerate((works if content is not None else []) + own)])
+    return rows.select(F.col(key).alias("id"), F.explode(F.filter(chunks, lambda c: c["text"].isNotNull())).alias("c")).select("id", "c.*")

@@ -71,3 +71,26 @@ def fair_batch(items: DataFrame, checked: DataFrame, stale_before: Column, size:
     # at most one and a half batches
     taken = first.orderBy("_part", F.col("at").asc_nulls_first(), key).limit(size)
     return taken.select(key, F.col("at").isNull().alias("never"))
+
+
+#: Bits and hash functions of a swarm's filter.
+SWARM_BITS, SWARM_HASHES = 2048, 2
+
+
+def swarm_positions(peer: Column) -> Column:
+    """The bits that a peer sets: two positions from the first four bytes of its SHA-1, low byte first."""
+    digest = F.sha1(peer)
+    byte = lambda i: F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("int")
+    return F.array(*[(byte(2 * i) + 256 * byte(2 * i + 1)) % SWARM_BITS for i in range(SWARM_HASHES)])
+
+
+def swarm_sizes(peers: DataFrame, group: str, peer: Column) -> DataFrame:
+    """(group, bits, size): how many different peers a group has, by the bits that all its filters have set together.
+
+    Filters merge by union, so the distinct positions are the merged filter, of at most 2,048 rows a group. A full filter
+    counts as one bit short of full.
+    """
+    bits = peers.select(group, F.explode(swarm_positions(peer)).alias("bit")).distinct().groupBy(group).agg(F.count("*").alias("bits"))
+    zeros = F.greatest(F.lit(1), F.lit(SWARM_BITS) - F.col("bits"))
+    size = F.log(zeros / SWARM_BITS) / (SWARM_HASHES * F.log(F.lit(1 - 1 / SWARM_BITS)))
+    return bits.select(group, "bits", F.round(size, 4).alias("size"))

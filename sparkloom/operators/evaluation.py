@@ -87,3 +87,30 @@ def weighted_rules(df: DataFrame, text: Column, rules: list[tuple[str, str, floa
             score = score + F.when(F.rlike(text, F.lit(pattern)), F.lit(weight)).otherwise(F.lit(0.0))
         out = out.withColumn(d, score)
     return out
+
+
+def weighted_verdict(df: DataFrame, text: Column, rules: list[tuple[str, str, float]], thresholds: dict[str, float], learnt: dict[str, float] | None = None) -> DataFrame:
+    """``df`` with a score per dimension and ``excluded_by``: the first dimension, in the order of the rules, whose score reaches its
+    threshold. ``learnt`` adds to the weights of rules by pattern."""
+    learnt = learnt or {}
+    out = weighted_rules(df, text, [(d, p, w + learnt.get(p, 0.0)) for d, p, w in rules])
+    reason = F.lit(None).cast("string")
+    for d in reversed([d for d in dict.fromkeys(r[0] for r in rules) if d in thresholds]):
+        reason = F.when(F.col(d) >= thresholds[d], d).otherwise(reason)
+    return out.withColumn("excluded_by", reason)
+
+
+def filter_list(df: DataFrame, name: Column, size: Column, extensions: Column, paths: Column, group: Column, allow: list[str] = (), least: int = 0, most: int = 0, blocked_extensions: list[str] = (), blocked_groups: list[str] = (), block: list[str] = ()) -> Column:
+    """Why a list of rules excludes a row, null if it doesn't: an allowed name is never excluded; then size, extension, release group,
+    name and path patterns, in this order. Zero sizes and empty lists switch a rule off."""
+    any_of = lambda c, patterns: c.rlike("|".join(f"(?:{p})" for p in patterns))
+    bare = [e.lower().lstrip(".") for e in blocked_extensions]
+    tests = [
+        (any_of(name, allow) if allow else None, None), ((size > 0) & (size < least) if least else None, "below_min_size"), (size > most if most else None, "above_max_size"),
+        (F.exists(extensions, lambda e: F.regexp_replace(F.lower(F.trim(e)), r"^\.", "").isin(*bare)) if bare else None, "blocked_extension"), (F.lower(group).isin(*[g.strip().lower() for g in blocked_groups]) if blocked_groups else None, "blocked_release_group"),
+        (any_of(name, block) if block else None, "block_pattern_matched"), (F.exists(paths, lambda p: any_of(p, block)) if block else None, "block_file_pattern_matched"),
+    ]
+    out = F.lit(None).cast("string")
+    for test, reason in reversed([t for t in tests if t[0] is not None]):
+        out = F.when(test, F.lit(reason)).otherwise(out)
+    return out

@@ -62,6 +62,29 @@ def beta_priors(outcomes: DataFrame, features: str, success: Column) -> DataFram
     return f.groupBy(F.col("f.type").alias("type"), F.col("f.value").alias("value")).agg((F.count_if("ok") + 1).alias("alpha"), (F.count_if(~F.col("ok")) + 1).alias("beta"))
 
 
+def resolve_attempts(grabs: DataFrame, imports: DataFrame, now: Column, expiry_days: int, key: str = "key") -> DataFrame:
+    """(key, success, features) of the attempts that are decided at ``now``: each import decides all attempts of its key since the one
+    before, as one outcome with their features merged; attempts without one are a failure, one for a key, once they are older than
+    ``expiry_days``. Younger ones are pending and not in the result.
+
+    ``grabs``: key, at, features; ``imports``: key, at. Each attempt finds its import by a window over both, not by a join of pairs.
+    """
+    none = F.lit(None).cast(grabs.schema["features"].dataType)
+    both = grabs.select(key, "at", "features", F.lit(1).alias("_grab")).unionByName(imports.select(key, "at", none.alias("features"), F.lit(0).alias("_grab")))
+    # of equal times the import comes after
+    later = Window.partitionBy(key).orderBy("at", F.col("_grab").desc()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    seen = both.withColumn("_import", F.min(F.when(F.col("_grab") == 0, F.col("at"))).over(later)).filter("_grab = 1")
+    decided = seen.filter(F.col("_import").isNotNull() | (F.col("at") + F.expr(f"INTERVAL {expiry_days} DAYS") < now))
+    one = decided.select(key, "_import", F.explode(F.array_distinct("features")).alias("f")).groupBy(key, "_import").agg(F.collect_set("f").alias("features"))
+    return one.select(key, F.col("_import").isNotNull().alias("success"), "features")
+
+
+def stable_rank(items: DataFrame, scores: DataFrame, key: str, position: str, score: str = "score") -> DataFrame:
+    """``items`` with their new ``rank``: by score from high to low, those of equal or no score in their old order behind."""
+    j = items.join(scores.select(key, score), key, "left")
+    return j.select(*items.columns, F.row_number().over(Window.orderBy(F.col(score).desc_nulls_last(), position)).alias("rank"))  # a page of results
+
+
 def rerank(items: DataFrame, key: str, features: str, seeders: Column, priors: DataFrame, least: int = 10, floor: float = 0.01) -> DataFrame:
     """(key, score): geometric mean of the features' posteriors times 1 + ln(1 + seeders).
 

@@ -54,3 +54,19 @@ def restore_children(children: DataFrame, key: str, snapshots: DataFrame, name:
 def union_of_removed(live: DataFrame, snapshots: DataFrame, key: str) -> DataFrame:
     """Distinct keys that are quarantined or removed, with where they are."""
     return live.select(key, F.lit("live").alias("place")).unionByName(snapshots.select(key, F.lit("snapshot").alias("place"))).distinct()
+
+
+def quarantine_page(live: DataFrame, snapshots: DataFrame, key: str, limit: int, after: object = None) -> DataFrame:
+    """(key, place) of the next page behind a key of what is quarantined or removed: a bounded page."""
+    every = union_of_removed(live, snapshots, key)
+    return (every if after is None else every.filter(F.col(key) > F.lit(after))).orderBy(key, "place").limit(limit)
+
+
+def expire_quarantine(state: DataFrame, now: Column, days: int, most: int, key: str) -> DataFrame:
+    """State after the next ``most`` of the oldest entries of over ``days`` have expired: a bounded step. Their snapshots are dropped,
+    they stay listed."""
+    due = state.filter(F.col("expired_at").isNull() & (F.col("quarantined_at") < now - F.expr(f"INTERVAL {days} DAYS"))).orderBy("quarantined_at", key).limit(most).select(key, F.lit(True).alias("_due"))
+    j = state.join(due, key, "left")
+    hit = F.coalesce("_due", F.lit(False))
+    new = {"expired_at": now, "torrent_snapshot": F.lit(None), "files_snapshot": F.lit(None), "sources_snapshot": F.lit(None)}
+    return j.select(*[F.when(hit, new[c].cast(state.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in state.columns])

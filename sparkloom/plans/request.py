@@ -40,6 +40,29 @@ def release_attribute(field_name: str, value: str, attributes: str = "attributes
     return where((F.col(f"{attributes}.version") == 1) & found)
 
 
+def month_range(year: int, month: int) -> tuple[date, date]:
+    """First day of a month and of the next."""
+    return date(year, month, 1), date(year + month // 12, month % 12 + 1, 1)
+
+
+def year_range(year: int, around: int = 0) -> tuple[date, date]:
+    """First day of a year, or of a window of years around it, and the first one behind."""
+    return date(year - around, 1, 1), date(year + around + 1, 1, 1)
+
+
+def released_in(span: tuple[date, date], column: str = "release_date") -> Criterion:
+    """Dates from the first day of a span up to, and without, its last."""
+    return where((F.col(column) >= F.lit(span[0])) & (F.col(column) < F.lit(span[1])))
+
+
+def in_collections(refs: list[tuple[str, str, str]], members: DataFrame) -> Criterion:
+    """Content that belongs to any of the collections (type, source, id); rows without content never do. ``members``: content_type,
+    content_source, content_id, collection_type, collection_source, collection_id."""
+    keys = ["content_type", "content_source", "content_id"]
+    wanted = any_of(*[where((F.col("collection_type") == t) & (F.col("collection_source") == s) & (F.col("collection_id") == i)) for t, s, i in refs]) if refs else where(F.lit(False))
+    return exists_in(wanted.apply(members).select(*keys), *keys)
+
+
 def extensions_of(file_types: list[str]) -> list[str]:
     """All extensions of some file types, sorted; an unknown type is an error."""
     if unknown := [t for t in file_types if t not in FILE_TYPES]:

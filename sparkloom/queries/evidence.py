@@ -238,3 +238,38 @@ def content_candidates(spark: SparkSession, sf: str) -> DataFrame:
     ref = F.concat_ws(":", "content_type", "content_source", "content_id")
     works = c.select(ref.alias("w_id"), F.col("content_type").alias("kind"), "title", F.col("release_year").alias("year")).dropDuplicates(["w_id"])
     return candidates(works.withColumnRenamed("w_id", "q_id"), works)
+
+
+@query("""WITH g AS (SELECT user_id, ts, hour(ts) AS h, event_type AS t FROM events WHERE event_type IN ('signup', 'view')), i AS (SELECT user_id, ts FROM events WHERE event_type = 'purchase'),
+r AS (SELECT user_id, h, (SELECT min(i.ts) FROM i WHERE i.user_id = g.user_id AND i.ts >= g.ts) AS done, ts, t FROM g), d AS (SELECT * FROM r WHERE done IS NOT NULL OR ts + INTERVAL 2 DAY < TIMESTAMP '2024-01-31'),
+f AS (SELECT DISTINCT user_id, done, 'hour' AS type, h::VARCHAR AS value FROM d UNION SELECT DISTINCT user_id, done, 'kind', t FROM d) SELECT type, value, count(*) FILTER (done IS NOT NULL) + 1 AS alpha, count(*) FILTER (done IS NULL) + 1 AS beta FROM f GROUP BY 1, 2""")
+def prior_attempts(spark: SparkSession, sf: str) -> DataFrame:
+    """Priors of features of attempts that a later purchase decides, or that expire after two days."""
+    from sparkloom.operators.folds import beta_priors, resolve_attempts
+
+    e = table(spark, sf, "events")
+    pair = lambda k, v: F.struct(F.lit(k).alias("type"), v.alias("value"))
+    grabs = e.filter(F.col("event_type").isin("signup", "view")).select("user_id", F.col("ts").alias("at"), F.array(pair("hour", F.hour("ts").cast("string")), pair("kind", F.col("event_type"))).alias("features"))
+    imports = e.filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("at"))
+    return beta_priors(resolve_attempts(grabs, imports, F.lit("2024-01-31").cast("timestamp_ntz"), 2, "user_id"), "features", F.col("success"))
+
+
+@query("""WITH p AS (SELECT user_id, sha1(event_id::VARCHAR) AS s FROM events), b AS (SELECT user_id, (('0x' || substr(s, 1, 2))::INT + 256 * ('0x' || substr(s, 3, 2))::INT) % 2048 AS b FROM p UNION SELECT user_id, (('0x' || substr(s, 5, 2))::INT + 256 * ('0x' || substr(s, 7, 2))::INT) % 2048 FROM p)
+SELECT user_id, count(*) AS bits, round(ln(greatest(1, 2048 - count(*)) / 2048) / (2 * ln(1 - 1 / 2048)), 4) AS size FROM b GROUP BY 1""")
+def swarm_size_estimates(spark: SparkSession, sf: str) -> DataFrame:
+    from sparkloom.operators.analytics import swarm_sizes
+
+    return swarm_sizes(table(spark, sf, "events"), "user_id", F.col("event_id").cast("string"))
+
+
+@query("""WITH f AS (SELECT info_hash, list(path) AS ps, list(regexp_extract(path, '[.]([^.]*)$', 1)) AS es FROM torrent_files GROUP BY 1), t AS (SELECT t.*, coalesce(ps, []) AS ps, coalesce(es, []) AS es FROM torrents t LEFT JOIN f USING (info_hash))
+SELECT info_hash, CASE WHEN regexp_matches(name, '(?i)proper') THEN NULL WHEN size > 0 AND size < 5000000 THEN 'below_min_size' WHEN size > 20000000000 THEN 'above_max_size' WHEN lower(coalesce(extension, '')) IN ('exe', 'iso') OR len(list_filter(es, lambda e: lower(e) IN ('exe', 'iso'))) > 0 THEN 'blocked_extension'
+WHEN regexp_matches(name, '(?i)cam|readnfo') THEN 'block_pattern_matched' WHEN len(list_filter(ps, lambda p: regexp_matches(p, '(?i)cam|readnfo'))) > 0 THEN 'block_file_pattern_matched' END AS reason FROM t""")
+def filter_list_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    from sparkloom.operators.evaluation import filter_list
+
+    files = table(spark, sf, "torrent_files").groupBy("info_hash").agg(F.collect_list("path").alias("ps"))
+    t = table(spark, sf, "torrents").join(files, "info_hash", "left").withColumn("ps", F.coalesce("ps", F.array().cast("array<string>")))
+    extensions = F.array_append(F.transform("ps", lambda p: F.regexp_extract(p, r"[.]([^.]*)$", 1)), F.coalesce("extension", F.lit("")))
+    reason = filter_list(t, F.col("name"), F.col("size"), extensions, F.col("ps"), F.lit(None).cast("string"), ["(?i)proper"], 5_000_000, 20_000_000_000, [".exe", "ISO"], [], ["(?i)cam", "(?i)readnfo"])
+    return t.select("info_hash", reason.alias("reason"))

@@ -89,11 +89,11 @@ def alias_dump(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT info_hash, '<item><title>' || replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '"', '&quot;') || '</title><enclosure url="magnet:?xt=urn:btih:' || info_hash || '&amp;dn=' || replace(url_encode(name), '%20', '+') || '&amp;xl=' || size || '" length="' || size || '"/><pubDate>'
-|| strftime(created_at, '%Y-%m-%d %H:%M:%S') || '</pubDate></item>' AS item FROM torrents""")
+|| strftime(created_at, '%Y-%m-%d %H:%M:%S') || '</pubDate><torznab:attr name="size" value="' || size || '"/>' || coalesce('<torznab:attr name="files" value="' || files_count || '"/>', '') || '</item>' AS item FROM torrents""")
 def feed_items(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "torrents")
     link = magnet_uri(F.col("info_hash"), F.col("name"), F.col("size"))
-    return t.select("info_hash", feed_item(F.col("name"), link, F.col("size"), F.col("created_at")).alias("item"))
+    return t.select("info_hash", feed_item(F.col("name"), link, F.col("size"), F.col("created_at"), {"size": F.col("size"), "files": F.col("files_count")}).alias("item"))
 
 
 def _arrivals(spark: SparkSession, sf: str) -> DataFrame:

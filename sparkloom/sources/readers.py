@@ -57,7 +57,8 @@ def work_path(spark: SparkSession, name: str) -> str:
     return made
 
 
-def feed_item(title, link, size, published) -> F.Column:
-    """An XML feed item as text, with markup escaped."""
+def feed_item(title, link, size, published, attributes: dict[str, F.Column] | None = None) -> F.Column:
+    """An XML feed item as text, with markup escaped; an attribute whose value is null is left out."""
     esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
-    return F.concat(F.lit("<item><title>"), esc(title), F.lit('</title><enclosure url="'), esc(link), F.lit('" length="'), size.cast("string"), F.lit('"/><pubDate>'), F.date_format(published, "yyyy-MM-dd HH:mm:ss"), F.lit("</pubDate></item>"))
+    told = [F.coalesce(F.concat(F.lit(f'<torznab:attr name="{n}" value="'), esc(v.cast("string")), F.lit('"/>')), F.lit("")) for n, v in (attributes or {}).items()]
+    return F.concat(F.lit("<item><title>"), esc(title), F.lit('</title><enclosure url="'), esc(link), F.lit('" length="'), size.cast("string"), F.lit('"/><pubDate>'), F.date_format(published, "yyyy-MM-dd HH:mm:ss"), F.lit("</pubDate>"), *told, F.lit("</item>"))
