@@ -73,9 +73,15 @@ def clean_title(name: str | None, absolute: int | None = None, groups: frozenset
     return text if len(text) >= 3 and any(c.isascii() and c.isalpha() or ord(c) > 127 for c in text) else ""
 
 
-@F.pandas_udf(T.StringType())
-def clean_titles(names: pd.Series, absolute: pd.Series) -> pd.Series:
-    return pd.Series([clean_title(n, None if pd.isna(a) else int(a)) for n, a in zip(names, absolute)])
+def clean_titles(name: Column, absolute: Column, groups: tuple[str, ...] = ()) -> Column:
+    """``clean_title`` of names with their absolute episodes; ``groups`` are the known groups, whose brackets are no title."""
+    known = frozenset(g.lower() for g in groups)
+
+    @F.pandas_udf(T.StringType())
+    def cleaned(names: pd.Series, episodes: pd.Series) -> pd.Series:
+        return pd.Series([clean_title(n, None if pd.isna(a) else int(a), known) for n, a in zip(names, episodes)])
+
+    return cleaned(name, absolute)
 
 
 def is_batch(name: Column) -> Column:

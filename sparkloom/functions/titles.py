@@ -62,20 +62,70 @@ def family_key(title: str | None) -> str:
     return "".join(c for c in normalize_title(title) if c.isalnum())
 
 
-def parse_title_year(name: str | None) -> tuple[str, int | None, str] | None:
-    """(title, year, rest) of a release name: noise before the title is dropped, year ranges keep their first year."""
-    text = name or ""
+# Endings of sites that put their name before a title, and words of releases that hold several films.
+SITE_ENDINGS = "com org net to rsvp pics la pl vip red win pro site live online top fun icu cyou ws ru in ph ai gg cx sh st mov fyi lol day wtf autos skin".split()
+PACK_WORDS = ["trilogy", "dilogy", "dilogies", "quadrilogy", "anthology", "filmography", "collection", "complete movies", "complete films", "complete collection"]
+
+_SITE = re.compile(rf"^\s*(?:www\.(?:[a-z0-9-]+\.)+[a-z]{{2,10}}\b(?:[\s._]*-+[\s._]*|\s{{2,}})|(?:www\.)?[a-z0-9][a-z0-9-]*\.(?:{'|'.join(SITE_ENDINGS)})\b[\s._]*-+[\s._]*)", re.I)
+_TAG = re.compile(r"^\s*\[[^\]]*\]\s*")
+_WIDE_TAG = re.compile(r"【[^】]*】")
+_YEARS = re.compile(r"\(?((?:18|19|20)\d\d)\s?[-–—]\s?(?:(?:18|19|20)\d\d|present|now|ongoing|\?{1,4})\)?", re.I)
+_SEASON = re.compile(r"(?<![^\W_])s\d{1,2}(?:e\d{1,4})?(?![^\W_])|season\s+\d", re.I)
+_PACK = re.compile(rf"(?<![^\W_])(?:{'|'.join(w.replace(' ', '[ ._-]+') for w in PACK_WORDS)}|\d+[ -]?movies?)(?![^\W_])", re.I)
+_NUMBERED = re.compile(r"^(.*?[^\W_])[\s._-]+ep(\d{2,4})(?:v\d)?(?=[\s._\-\[(]|$)", re.I)
+_EAST_ASIAN = re.compile(r"[\u1100-\u11ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
+
+
+def is_pack(name: str | None) -> bool:
+    """A name that holds several films: a word for that, and no season or episode."""
+    return bool(name) and bool(_PACK.search(name)) and not _SEASON.search(name)
+
+
+def latin_half(title: str) -> str:
+    """The Latin title behind an East Asian one: what follows its last such letter and a number glued to it, if that is two words or
+    more, all Latin or numbers, one of them Latin, and no tag. Any other title stays."""
+    first = next((c for c in title if c.isalpha()), "")
+    last = max((m.end() for m in _EAST_ASIAN.finditer(title)), default=0)
+    if not _EAST_ASIAN.match(first or " ") or not last:
+        return title
+    rest = re.sub(r"^\d+", "", title[last:]).strip()
+    words = rest.strip(" -~.,:!&'’").split()
+    fine = not rest.startswith("[") and len(words) >= 2 and all(re.fullmatch(r"[A-Za-zÀ-ɏ0-9'’&:!,.-]+", w) for w in words)
+    return " ".join(words) if fine and any(re.search(r"[A-Za-zÀ-ɏ]", w) for w in words) else title
+
+
+def _bare_name(name: str) -> str:
+    text = _WIDE_TAG.sub(" ", name)
     for _ in range(3):
-        text = re.sub(r"^\s*(?:\[[^\]]*\]|【[^】]*】|(?:www\.)?[a-z0-9-]+\.(?:com|org|net|to)\s*-)\s*", "", text, flags=re.I)
-    text = re.sub(r"((?:19|20)\d\d)\s?[-–]\s?(?:19|20)\d\d", r"\1", text)
+        text = _TAG.sub("", _SITE.sub("", text))
+    return _YEARS.sub(r"\1", text)
+
+
+def numbered_title(name: str | None) -> tuple[str, int | None] | None:
+    """(title, year) before an absolute episode number like 'EP12'; None without one, or where it stands within a tag."""
+    m = _NUMBERED.match(_bare_name(name or ""))
+    if not m or m.group(1).count("[") != m.group(1).count("]"):
+        return None
+    parsed = parse_title_year(m.group(1) + " ")
+    return parsed[:2] if parsed else None
+
+
+def parse_title_year(name: str | None) -> tuple[str, int | None, str] | None:
+    """(title, year, rest) of a release name. Up to three site and group tags before the title go, and tags in wide brackets anywhere;
+    a range of years keeps its first; a year that leads the name is its year, if no other is; of a bilingual title the Latin half stays."""
+    text = _bare_name(name or "")
     m = re.search(r"[\s._(\[{|~;,-]+((?:18|19|20)\d\d)(?![\dp])", text)
+    led = re.match(r"\s*\(?((?:18|19|20)\d\d)\)?[\s._-]+(?=[^\W\d_])", text)
+    if not m and led:
+        text, year = text[led.end() :], int(led.group(1))
+    else:
+        year = int(m.group(1)) if m else None
     cut = re.search(r"(?i)[\s._(\[{|~;,-]+(?:s\d{1,4}(?:e\d|\W|$)|season\W\d|\d{3,4}[pi]\b|web|blu-?ray|b[dr]rip|dvd|hdtv)", text)
     end = min([x.start() for x in (m, cut) if x] or [len(text)])
     title = re.sub(r"\s+", " ", re.sub(r"[._]+", " ", text[:end])).strip(" -~|;,([{")
     if not title:
         return None
-    year = int(m.group(1)) if m else None
-    return title, year, text[end:].strip()
+    return latin_half(title), year, text[end:].strip()
 
 
 def parse_date(text: str | None) -> date | None:
@@ -125,10 +175,12 @@ def title_family(titles: pd.Series) -> pd.Series:
     return titles.map(family_key)
 
 
-@F.pandas_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("year", T.IntegerType()), T.StructField("rest", T.StringType())]))
+@F.pandas_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("year", T.IntegerType()), T.StructField("rest", T.StringType()), T.StructField("pack", T.BooleanType()), T.StructField("numbered", T.BooleanType())]))
 def title_and_year(names: pd.Series) -> pd.DataFrame:
-    parsed = [parse_title_year(n) or (None, None, None) for n in names]
-    return pd.DataFrame({"title": [p[0] for p in parsed], "year": pd.array([p[1] for p in parsed], dtype="Int32"), "rest": [p[2] for p in parsed]})
+    """Title, year and rest, whether the name holds several films, and whether it is numbered by absolute episodes, whose title it then is."""
+    numbered = [numbered_title(n) for n in names]
+    parsed = [(*e, None) if e else parse_title_year(n) or (None, None, None) for e, n in zip(numbered, names)]
+    return pd.DataFrame({"title": [p[0] for p in parsed], "year": pd.array([p[1] for p in parsed], dtype="Int32"), "rest": [p[2] for p in parsed], "pack": [is_pack(n) for n in names], "numbered": [e is not None for e in numbered]})
 
 
 @F.pandas_udf(T.DateType())

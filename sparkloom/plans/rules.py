@@ -16,7 +16,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions.anime import clean_titles, is_batch, is_film
 from sparkloom.functions.episodes import episodes_of
+from sparkloom.functions.naming import bracket_marks
 from sparkloom.functions.release import KINDS_3D, MODIFIERS, infer_alias, release_group, video_codec, video_resolution, video_source
 from sparkloom.functions.titles import date_in, title_and_year
 from sparkloom.operators.matching import best_matches
@@ -319,11 +321,12 @@ class Workflow:
     ``content`` (content_type, content_source, content_id, title, release_year) serves the local attachments; hints are the
     columns hint_type, hint_source and hint_id of the frame. ``functions`` may hold 'type_fallback' (state to a content type) and the
     remote attachments 'attach_tmdb_content_by_id' and 'attach_tmdb_content_by_search' (state to a content struct); without these,
-    a fallback changes nothing and a remote attachment is unmatched. ``name`` is the expression of the name that is parsed.
+    a fallback changes nothing and a remote attachment is unmatched. ``name`` is the expression of the name that is parsed;
+    ``fansub_groups`` are the known ones.
     """
 
-    def __init__(self, workflows: dict[str, list], scope: Scope, functions: dict[str, Callable[[dict[str, Column]], object]] | None = None, content: DataFrame | None = None, name: str = "torrent.name", flags: Flags | None = None, single_episode_max_bytes: int = 0):
-        self.workflows, self.functions, self.content, self.name, self.limit = workflows, functions or {}, content, name, single_episode_max_bytes
+    def __init__(self, workflows: dict[str, list], scope: Scope, functions: dict[str, Callable[[dict[str, Column]], object]] | None = None, content: DataFrame | None = None, name: str = "torrent.name", flags: Flags | None = None, single_episode_max_bytes: int = 0, fansub_groups: tuple[str, ...] = ()):
+        self.workflows, self.functions, self.content, self.name, self.limit, self.groups = workflows, functions or {}, content, name, single_episode_max_bytes, fansub_groups
         self.scope = flags.into(scope) if flags else scope
 
     def columns(self, name: str = "default") -> list[str]:
@@ -451,19 +454,28 @@ class Workflow:
         return self._found(df, mask, found.isNotNull(), date=found)
 
     def _parse_video_content(self, df: DataFrame, mask: str, state: dict[str, Column]) -> tuple[DataFrame, set[str]]:
-        """Title, year, episodes and attributes of a name. Without a type: episodes or a full date make a series, a year a film,
-        nothing is unmatched. What is no series loses its episodes, and its title too where it has no year."""
+        """Title, year, episodes and attributes of a name. Without a type: episodes or a full date make a series, so does a fansub group
+        (unless the name says film) and an absolute episode number, a year a film, nothing is unmatched. What is no series loses its
+        episodes, and its title too where it has no year; a name of several films loses its title and year, so does a fansub name
+        that tells neither episode nor film its title."""
         name, k = self._parsed_name(mask), self._masks
-        df = df.withColumns({f"_title{k}": title_and_year(name), f"_episodes{k}": episodes_of(name)})
-        p, e = F.col(f"_title{k}"), F.col(f"_episodes{k}")
+        df = df.withColumns({f"_title{k}": title_and_year(name), f"_episodes{k}": episodes_of(name), f"_marks{k}": bracket_marks(name)})
+        p, e, marks = F.col(f"_title{k}"), F.col(f"_episodes{k}"), F.col(f"_marks{k}")
+        fansub = F.coalesce(F.lower(marks["group"]).isin(*[g.lower() for g in self.groups]), F.lit(False)) if self.groups else F.lit(False)
+        df = df.withColumn(f"_clean{k}", clean_titles(F.when(fansub, name), marks["absolute_episode"], self.groups))
+        pack = p["pack"] & e.isNull()
         if self.limit and "torrent.size" in self.scope.columns:
             size = self.scope.columns["torrent.size"]
-            pack = F.forall(F.map_values(e), lambda x: F.size(x) == 0) & (size > 0) & (size <= self.limit)
-            e = F.when(pack, F.lit(None)).otherwise(e)
-        kind = F.coalesce(state["content_type"], F.when(F.col(f"_episodes{k}").isNotNull() | state["date"].isNotNull(), "tv_show").when(p["year"].isNotNull(), "movie"))
+            small = F.forall(F.map_values(e), lambda x: F.size(x) == 0) & (size > 0) & (size <= self.limit)
+            e = F.when(small, F.lit(None)).otherwise(e)
+        episodic = marks["absolute_episode"].isNotNull() | is_batch(name)
+        bare = state["content_type"].isNull() & F.col(f"_episodes{k}").isNull() & state["date"].isNull()
+        year = F.when(~pack, p["year"])
+        kind = F.coalesce(state["content_type"], F.when(F.col(f"_episodes{k}").isNotNull() | state["date"].isNotNull(), "tv_show").when(fansub & ~episodic & is_film(name), "movie").when(fansub | p["numbered"], "tv_show").when(year.isNotNull(), "movie"))
         series = kind == "tv_show"
+        title = F.when(bare & fansub, F.when(episodic | is_film(name), F.nullif(F.col(f"_clean{k}"), F.lit("")))).when(~pack & (series | year.isNotNull()), p["title"])
         video = F.struct(video_resolution(name).alias("resolution"), video_source(name).alias("source"), video_codec(name).alias("codec"), infer_alias(name, MODIFIERS).alias("modifier"), infer_alias(name, KINDS_3D).alias("kind_3d"), release_group(name).alias("release_group"))
-        return self._found(df, mask, kind.isNotNull() & p.isNotNull(), content_type=kind, title=F.when(series | p["year"].isNotNull(), p["title"]), year=p["year"], episodes=F.when(series, e), video=video)
+        return self._found(df, mask, kind.isNotNull() & p.isNotNull(), content_type=kind, title=title, year=year, episodes=F.when(series, e), video=video)
 
     def _local(self) -> DataFrame:
         if self.content is None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import fts
 from sparkloom.functions import release as R
 from sparkloom.functions.episodes import episodes_of, has_episodes, parse_episodes, render_episodes
-from sparkloom.functions.titles import family_key, kana_to_romaji, normalize_title, parse_date, parse_title_year
+from sparkloom.functions.titles import family_key, is_pack, kana_to_romaji, normalize_title, numbered_title, parse_date, parse_title_year
 
 
 @pytest.mark.parametrize(
@@ -38,6 +38,22 @@ def test_titles():
     assert parse_date("x 2020.02.29 y") == dt.date(2020, 2, 29) and parse_date("31-12-2019") == dt.date(2019, 12, 31) and parse_date("2 Dec 1955") == dt.date(1955, 12, 2) and parse_date("30.02.2019") is None and parse_date(None) is None
 
 
+@pytest.mark.parametrize(
+    ("name", "want"),
+    [
+        ("www.Some-Site.rsvp - Quiet Tide 2004 1080p", ("Quiet Tide", 2004)), ("www.site.org   Quiet Tide S01E09", ("Quiet Tide", None)), ("site.pics - [Tag] Quiet.Tide.2004", ("Quiet Tide", 2004)), ("Example.com Title 2001", ("Example com Title", 2001)),
+        ("【发布 www.x.com】潮汐3 Quiet Tide 2004", ("Quiet Tide", 2004)), ("潮汐.2004.1080p", ("潮汐", 2004)), ("Quiet 潮汐 2004", ("Quiet 潮汐", 2004)), ("2019.The.Old.Bridge.1080p", ("The Old Bridge", 2019)), ("Quiet Tide (2004-present) 720p", ("Quiet Tide", 2004)), ("1984", ("1984", None)),
+    ],
+)
+def test_titles_behind_noise(name, want):
+    assert parse_title_year(name)[:2] == want
+
+
+def test_packs_and_numbers():
+    assert is_pack("The Bridge Trilogy 1980-1990") and is_pack("Complete.Movies 1080p") and is_pack("Old 12 movies") and not is_pack("The Bridge Collection S01") and not is_pack("Recollections") and not is_pack(None)
+    assert numbered_title("Some.Tide.2024.EP12.1080p") == ("Some Tide", 2024) and numbered_title("[Grp] Tide EP1168v2") == ("Tide", None) and numbered_title("Band EP 2019") is None and numbered_title("x [1080p.EP001-151]") is None
+
+
 def test_release(spark):
     names = [("A.B.2019.1080p.WEB-DL.x264-GRP.mkv",), ("A 2160p UHD HDR10+ DDP5.1 x265",), ("x264 and xvid",), ("plain",), ("",), (None,)]
     n = F.col("n")

@@ -46,6 +46,14 @@ def test_actions_that_parse_and_attach(spark, content):
     assert w.apply(df.limit(0)).count() == 0
 
 
+def test_packs_fansubs_and_numbers(spark):
+    names = [("pack", "The Bridge Trilogy 1980 1080p"), ("ep", "Some.Tide.2024.EP12.1080p"), ("sub", "[Grp] Long River - 107 (480p).mkv"), ("film", "[Grp] Long River The Movie [BD 1080p].mkv"), ("vague", "[Grp] Long River [1080p].mkv"), ("other", "[Nobody] Long River [1080p].mkv")]
+    df, scope = _names(spark, [(i, n, 9, None, None, None) for i, n in names])
+    w = Workflow({"default": [{"find_match": ["parse_video_content"]}]}, scope, fansub_groups=("grp",))
+    got = {r["id"]: (r["content_type"], r["title"], r["year"]) for r in w.apply(df).collect()}
+    assert got == {"pack": (None, None, None), "ep": ("tv_show", "Some Tide", 2024), "sub": ("tv_show", "Long River", None), "film": ("movie", "Long River The Movie", None), "vague": ("tv_show", None, None), "other": (None, None, None)}
+
+
 def test_find_match_restores_and_stops(spark):
     df, scope = _names(spark, [("a", "x", 1, None, None, None), ("b", "y", 1, None, None, None)])
     tries = [[{"add_tag": "lost"}, {"set_content_type": "game"}, "unmatched", {"add_tag": "never"}], [{"if_else": {"condition": "torrent.name == 'x'", "if_action": {"add_tag": "kept"}, "else_action": "unmatched"}}]]
