@@ -57,7 +57,7 @@ def common_words(documents: DataFrame, most: int = COMMON) -> dict[str, list[str
     Counts combine before the shuffle, each partition passes on its best ``most``, and only ``most`` words a language are
     collected.
     """
-    words = widen(documents.select(language_of(F.col("lang")).alias("language"), "text")).select("language", F.explode(F.array_distinct(F.transform(_words(F.col("text")), F.lower))).alias("word"))
+    words = widen(documents.select(language_of(F.col("lang")).alias("language"), "text")).select("language", F.explode(F.array_distinct(_words(F.lower("text")))).alias("word"))
     counts = words.groupBy("language", "word").agg(F.count("*").alias("n"))
     best = counts.withColumn("k", F.row_number().over(Window.partitionBy("language").orderBy(F.col("n").desc(), "word"))).filter(F.col("k") <= most)
     out: dict[str, list[str]] = {}
