@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions.titles import family_key, native_form, native_key, normalized_title, slip_limit, title_family, token_jaccard, year_penalty
+from sparkloom.session import cut
 
 
 #: Edits that are ever allowed.
@@ -67,8 +68,11 @@ def _title_keys(least: float, query: bool) -> Callable[[Iterator[pd.DataFrame]],
                     if query:
                         t = _slips(len(title))
                         for length in range(max(0, n - t), n + t + 1):
+                            shift = n - length
                             for i, (at, size) in enumerate(_segments(length, t + 1)):
-                                out += {f"{gate}|{t}|{length}|{i}|{text[s : s + size]}" for s in range(max(0, at - t), min(n - size, at + t) + 1)}
+                                # no more edits than parts lie before the part that is kept, nor behind it
+                                low, high = max(0, at - i, at + shift - (t - i)), min(n - size, at + i, at + shift + t - i)
+                                out += {f"{gate}|{t}|{length}|{i}|{text[s : s + size]}" for s in range(low, high + 1)}
                     else:
                         for t in {_slips(q + off) for q in range(max(0, n - MOST_SLIPS), n + MOST_SLIPS + 1) if abs(q - n) <= _slips(q + off)}:
                             out += [f"{gate}|{t}|{n}|{i}|{text[at : at + size]}" for i, (at, size) in enumerate(_segments(n, t + 1))]
@@ -93,18 +97,16 @@ def best_matches(left: DataFrame, right: DataFrame, jaccard: float = 0.9, kind:
         return df.select(F.col(ident), F.col("title").alias(f"{p}raw"), F.col("year").alias(f"{p}y"), *[F.col(c).alias(f"{p}{c}") for c in extra]).filter(F.col(f"{p}raw").isNotNull())
 
     def keyed(df: DataFrame, p: str, query: bool) -> tuple[DataFrame, DataFrame]:
-        texts = df.select(F.col(f"{p}raw").alias("raw")).distinct().withColumn("title", normalized_title("raw")).filter(F.col("title") != "")
-        return texts, texts.mapInPandas(_title_keys(jaccard, query), "raw string, key string")
+        raw = df.select(F.col(f"{p}raw").alias("raw")).distinct()
+        texts = cut(raw.select("raw", normalized_title("raw").alias("title"), native_form("raw").alias("native")).filter(F.col("title") != ""))
+        return texts.select(F.col("raw").alias(f"{p}raw"), F.col("title").alias(f"{p}t"), F.col("native").alias(f"{p}n")), texts.mapInPandas(_title_keys(jaccard, query), "raw string, key string")
 
     l, r = side(left, "l_id", "l"), side(right, "r_id", "r")
     lt, lk = keyed(l, "l", True)
     rt, rk = keyed(r, "r", False)
     near = lk.select(F.col("raw").alias("lraw"), "key").join(rk.select(F.col("raw").alias("rraw"), "key"), "key").select("lraw", "rraw").distinct()
-    near = near.join(lt.select(F.col("raw").alias("lraw"), F.col("title").alias("lt")), "lraw").join(rt.select(F.col("raw").alias("rraw"), F.col("title").alias("rt")), "rraw")
-    same_native = F.coalesce(native_form(F.col("lraw")) == native_form(F.col("rraw")), F.lit(False))
-    near = near.withColumn("native", same_native)
-    free = native_form(F.col("lraw")).isNotNull()
-    near = near.filter(F.col("native") | free | (F.split_part("lt", F.lit(" "), F.lit(1)) == F.split_part("rt", F.lit(" "), F.lit(1))))
+    near = near.join(lt, "lraw").join(rt, "rraw").withColumn("native", F.coalesce(F.col("ln") == F.col("rn"), F.lit(False)))
+    near = near.filter(F.col("native") | F.col("ln").isNotNull() | (F.split_part("lt", F.lit(" "), F.lit(1)) == F.split_part("rt", F.lit(" "), F.lit(1))))
     near = near.withColumn("distance", F.when(F.col("native"), 0).otherwise(F.levenshtein("lt", "rt"))).withColumn("jaccard", F.when(F.col("native"), 1.0).otherwise(F.round(token_jaccard(F.col("lt"), F.col("rt")), 6)))
     fine = near.filter(F.col("native") | (F.col("distance") <= slip_limit(F.col("lt"))) | (F.col("jaccard") >= jaccard)).select("lraw", "rraw", "distance", "jaccard")
     works = r.groupBy("rraw", "ry", *[f"r{c}" for c in extra]).agg(F.min("r_id").alias("r_id"))
