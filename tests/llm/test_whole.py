@@ -175,3 +175,13 @@ def test_truths_of_single_candidates_are_the_minimum(spark):
     assert all(abs(r["truth"] - max(0.0, float(r["v"][1:]) - 0.05)) < 2e-3 for r in got.collect()) and report["rounds"] < 400
     with pytest.raises(RuntimeError):
         solve_with_residuals(spark.createDataFrame(rows, "pid string, v string, a double, b double, weight double, square boolean"), rounds=4, tolerance=1e-9)
+
+
+def test_the_solver_keeps_its_plans_small(spark, monkeypatch):
+    from sparkloom.llm import linkage
+
+    scans, kept = [], linkage.cut
+    monkeypatch.setattr(linkage, "cut", lambda df: scans.append(df._jdf.queryExecution().analyzed().collectLeaves().size()) or kept(df))
+    rows = [("s1", "x", -1.0, 0.9, 4.0, True), ("s2", "y", -1.0, 0.8, 4.0, True), ("e", "x", 1.0, -1.0, 8.0, False), ("e", "y", 1.0, -1.0, 8.0, False)]
+    _, report = linkage.solve_with_residuals(spark.createDataFrame(rows, "pid string, v string, a double, b double, weight double, square boolean"))
+    assert report["rounds"] >= 8 and max(scans) <= 4, scans  # a round reads its state four times; uncut rounds multiply that
